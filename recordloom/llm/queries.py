@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe
+from recordloom.llm import bpe, licenses, media, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": bpe.op9_bpe}
+    return {
+        "op4_media": media.op4_media,
+        "op5_licenses": licenses.op5_licenses,
+        "op9_bpe": bpe.op9_bpe,
+        "op10_mixing": mixing.op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.OP10_SQL}
