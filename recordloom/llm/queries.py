@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe, licenses, media, mixing
+from recordloom.llm import bpe, licenses, media, mixing, shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_media": media.op4_media,
         "op5_licenses": licenses.op5_licenses,
+        "op7_shards": shards.op7_shards,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
