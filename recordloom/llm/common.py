@@ -62,6 +62,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """At most bound labelled documents (doc_id, text, _label), none of them held out: those whose ids come first by hash.
+
+    Ids that are null or labelled both ways are left out; of documents with one id one is taken.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
+    known = known.groupBy("doc_id").agg(F.min(label).alias("_label"), F.max(label).alias("_most")).where("_label = _most")
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("doc_id", "_label")
+    # at most bound rows of two numbers
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+
+
 def join_path(*parts: str) -> str:
     return str(PurePosixPath(*parts))
 
@@ -132,11 +144,12 @@ class Words:
     first: index of each text's first word, one more than there are texts.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, between: np.ndarray = _SPACE):
+        """between: for each byte value whether it stands between words."""
         offsets, self.data = text_bytes(texts)
         self.offsets = offsets
         space = np.ones(len(self.data) + 2, bool)
-        space[1:-1] = _SPACE[self.data]
+        space[1:-1] = between[self.data]
         inner = offsets[1:-1]
         change = np.flatnonzero(space[1:] != space[:-1])
         start, end = change[0::2], change[1::2]

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe, licenses, media, mixing, shards
+from recordloom.llm import bpe, licenses, media, mixing, quality, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_media": media.op4_media,
         "op5_licenses": licenses.op5_licenses,
         "op7_shards": shards.op7_shards,
+        "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
