@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from recordloom.llm.common import Words, held_out, mix, pieces, small_batches, span_hashes, table, training_rows
 
 TRAIN_ROWS = 8000
-FEATURES = 8192
+FEATURES = 1024
 #: A feature must stand in this many sample documents.
 LEAST_DOCS = 3
 #: ... and its log odds ratio be this many standard errors from 0.
