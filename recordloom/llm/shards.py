@@ -31,13 +31,13 @@ from recordloom.llm.common import partitions, pieces, segments, small_batches, s
 
 END_ID = 2
 #: A block is closed at this many ids; a longer document gets a block of its own.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 ROUNDS = 4
 #: Pairs of a round must occur this often where they are counted.
 MIN_COUNT = 6
 #: Pairs are counted at every position, or in larger blocks at every fourth; any choice of rules is lossless.
 COUNT_ALL = 1 << 17
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 MAGIC = b"RPG1"
 
 
@@ -237,7 +237,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
 
 
 def read_shards(blocks: DataFrame) -> DataFrame:
-    """From blocks: doc_id, start, n_tokens, ids_crc32, in the shards' order. Totals are summed over blocks, a row for a million ids."""
+    """From blocks: doc_id, start, n_tokens, ids_crc32, in the shards' order. Totals are summed over blocks, a row for half a million ids."""
     order = Window.orderBy("shard", "block")
     first = blocks.select("shard", "block", "n_ids").withColumn("first", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
     spans = blocks.join(first, ["shard", "block"]).select("first", "doc_ids", "ends", "payload")
