@@ -234,6 +234,26 @@ def by_group(keys: list[str], work: Callable[[tuple, pa.Table], Iterator[pa.Reco
     return run
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Of batches sorted by key: tables of about so many rows that never split a key's rows."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            edge = int(np.flatnonzero(np.append(keys[1:] != keys[:-1], False)).max(initial=-1)) + 1
+            if edge:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, edge)])
+                held = [batch.slice(edge)]
+                n = batch.num_rows - edge
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def grouped(df: DataFrame, keys: list[str], work, schema: str, n: int | None = None) -> DataFrame:
     """One shuffle by keys, then work() for each key's rows. Keys must not be null; groups must be of bounded size."""
     spread = df.repartition(n, *keys) if n else df.repartition(*keys)

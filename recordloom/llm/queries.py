@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe, licenses, media, mixing, neighbours, quality, shards, toxicity
+from recordloom.llm import bpe, jaccard, licenses, media, mixing, neighbours, quality, shards, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_jaccard": jaccard.op2_jaccard,
         "op3_neighbours": neighbours.op3_neighbours,
         "op4_media": media.op4_media,
         "op5_licenses": licenses.op5_licenses,
