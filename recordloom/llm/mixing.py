@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import table
+from recordloom.llm.common import stored, table
 
 SEED = "mix-1"
 #: Share of a source in the output: its number of rows to this power, over the sum for all sources.
 TEMPER = 0.5
 #: A Poisson number with a larger mean is a sum of several with smaller ones.
 MEAN_LIMIT = 200.0
+#: The table of rates (a row for each source, a few hundred bytes) is broadcast up to this many rows.
+BROADCAST_SOURCES = 10_000
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -65,7 +67,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     keep = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
     rate = rates(docs, weights, temper, output_rows, source)
     own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    # the table of rates has a row for each source; Spark broadcasts it when it is small, and splits hot sources otherwise
+    rate = stored(rate, "rates")
+    if rate.count() <= BROADCAST_SOURCES:  # else Spark shuffles by source and splits hot ones
+        rate = F.broadcast(rate)
     joined = docs.select(*keep).join(rate, F.col(source).eqNullSafe(F.col("_source")))
     drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.aggregate(F.col("_cdf"), F.lit(0), lambda n, f: n + (unit_hash(F.lit(seed), own, j.cast("string")) >= f).cast("int")))
     joined = joined.withColumn("n_copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).where("n_copies > 0")
