@@ -1,28 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+toxicity    documents that the classifier rejects go
+near        of each group of near duplicates the document with the smallest id stays
+substrings  passages of 13 words or more that a document with a smaller id has go
+mixing      documents are repeated by their source's rate and shuffled globally
+bpe         each remaining row's ids, as number and digests
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recordloom.llm import bpe, jaccard, mixing, substrings, toxicity
+from recordloom.llm.common import small_batches, stored, table
+
+#: Documents with this score or more are rejected.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score, learned from the labels that are not held out, is below TOXIC."""
+    small_batches(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model, score="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates."""
+    return jaccard.near_duplicates(docs).where("first_of_class").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the passages that one with a smaller id has; n_chars follows the text."""
+    out = substrings.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
 
-from recordloom.llm import bpe
-from recordloom.llm.common import stored
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents, each as often as its source's rate and its id's hash say, in global random order."""
+    return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE ids of what is left, as counts and digests."""
+    """BPE ids of every row's whole text, as number and digests, in place of the text."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("near", drop_near), ("substrings", cut_repeats), ("mixing", mix), ("bpe", encode)]
 
-#: Classifier training and sampled recursion have no SQL form; the tests hold run() against a plain version.
+#: A trained classifier and the tokenizer have no SQL form; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bpe, jaccard, licenses, media, mixing, neighbours, quality, shards, toxicity
+from recordloom.llm import bpe, jaccard, licenses, media, mixing, neighbours, quality, shards, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_neighbours": neighbours.op3_neighbours,
         "op4_media": media.op4_media,
         "op5_licenses": licenses.op5_licenses,
+        "op6_substrings": substrings.op6_substrings,
         "op7_shards": shards.op7_shards,
         "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.OP10_SQL}
+    return {"op6_substrings": substrings.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
