@@ -19,7 +19,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,29 +27,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import partitions, pieces, segments, small_batches, stored
+from recordloom.llm.common import partitions, pieces, segments, small_batches, span_hashes, stored, text_bytes
 
 END_ID = 2
 #: A block is closed at this many ids; a longer document gets a block of its own.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 17
 ROUNDS = 4
 #: Pairs of a round must occur this often where they are counted.
 MIN_COUNT = 6
 #: Pairs are counted at every position, or in larger blocks at every fourth; any choice of rules is lossless.
 COUNT_ALL = 1 << 17
-CACHE_PIECES = 200_000
+#: Places for remembered pieces, and ids that are kept for them.
+SLOT_BITS = 19
+SLOTS = 1 << SLOT_BITS
+KEPT_IDS = 6_000_000
 MAGIC = b"RPG1"
 
 
 class PieceEncoder:
     """Ids by the tokenizers library, which sees each piece of text once while it is remembered.
 
-    A piece is a blank with what follows it up to the next blank: byte-level BPE never joins what
-    stands on both sides. Texts in which white space touches a blank go to the library as they are.
+    A piece is a blank with what follows it up to the next blank: byte-level BPE never joins what stands
+    on both sides. Texts in which white space follows a blank, that end in one or that may hold a special
+    token go to the library as they are. Pieces are found, hashed and looked up in numpy; the memory is a
+    direct-mapped table of SLOTS piece hashes, in which a new piece takes the place of an old one.
     """
 
-    _odd = re.compile(r" \s")
     _space = re.compile(r"\s")
+    _ascii_space = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+    #: First and second bytes of other white space in UTF-8 (and of a little more).
+    _wide = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -61,49 +68,87 @@ class PieceEncoder:
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # of byte-level tokens: one character a byte
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)
-        self.number: dict[str, int] = {}
-        self.flat, self.start, self.n = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.key, self.start, self.n = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int32)
+        self.flat = np.empty(0, np.uint32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.array([len(i) for i in ids], np.int64)
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Pieces that begin with a blank and neither go on nor end with white space are encoded joined, a few hundred
-        at a time, and told apart by their bytes; the others one by one."""
+    def _learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and their numbers. Pieces that begin with a blank and do not end with white
+        space are encoded joined, a few hundred at a time, and told apart by their bytes; the others one by one."""
         space = self._space.match
-        joined, alone = [], []
-        for p in fresh:
-            (joined if len(p) > 1 and p[0] == " " and not space(p[1]) and not space(p[-1]) else alone).append(p)
-        if joined:
-            ids, _ = self._library(["".join(joined[i : i + 256]) for i in range(0, len(joined), 256)])
-            ends = np.cumsum([len(p.encode()) for p in joined])
-            n = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0)
-            self._add(joined, ids, n)
-        if alone:
-            self._add(alone, *self._library(alone))
-
-    def _add(self, texts: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        self.number.update(zip(texts, range(len(self.n), len(self.n) + len(texts)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joins = [p[0] == " " and len(p) > 1 and not space(p[-1]) for p in fresh]
+        joined, alone = [p for p, j in zip(fresh, joins, strict=True) if j], [p for p, j in zip(fresh, joins, strict=True) if not j]
+        ids, _ = self._library(["".join(joined[i : i + 256]) for i in range(0, len(joined), 256)])
+        ends = np.cumsum([len(p.encode()) for p in joined], dtype=np.int64)
+        n = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0)
+        more, n_more = self._library(alone)
+        total, sizes = np.concatenate([ids, more]), np.concatenate([n, n_more])
+        starts = np.cumsum(sizes) - sizes
+        place = np.empty(len(fresh), np.int64)  # of each piece among joined and alone
+        at = np.array(joins, bool)
+        place[at], place[~at] = np.arange(len(joined)), np.arange(len(alone)) + len(joined)
+        return total[segments(starts[place], sizes[place])], sizes[place]
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where blanks stand, and whether each text must go to the library as it is."""
+        n = len(offsets) - 1
+        blank = np.flatnonzero(data == 0x20)
+        after = np.append(data, np.zeros(2, np.uint8))
+        a, b = after[blank + 1], after[blank + 2]
+        bad = self._ascii_space[a]
+        for x, y in self._wide:
+            bad |= (a == x) & (b == y)
+        last = np.searchsorted(offsets, blank, side="right") - 1
+        bad |= blank + 1 == offsets[last + 1]
+        odd = np.bincount(last[bad], minlength=n) > 0
+        special = np.flatnonzero((after[:-2] == 0x3C) & (after[1:-1] == 0x7C))
+        odd[np.searchsorted(offsets, special, side="right") - 1] = True
+        return blank, odd
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and each text's number of ids."""
-        if len(self.number) > CACHE_PIECES:
-            self.number.clear()
-            self.flat, self.start, self.n = self.flat[:0], self.start[:0], self.n[:0]
-        split = [[t] if not t or t[-1] == " " or "\0" in t or "<|" in t or self._odd.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        parts = [*chain.from_iterable(split)]
-        number = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
-        missed = np.flatnonzero(number < 0).tolist()
-        if missed:
-            self._learn([*dict.fromkeys([parts[i] for i in missed])])
-            number[missed] = [self.number[parts[i]] for i in missed]
-        n = self.n[number]
-        return self.flat[segments(self.start[number], n)], np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, split)])])
+        offsets, data = text_bytes(texts)
+        blank, odd = self._pieces(data, offsets)
+        edge = np.unique(np.concatenate([blank, offsets]))
+        start, end = edge[:-1], edge[1:]
+        doc = np.searchsorted(offsets, start, side="right") - 1
+        keep = ~odd[doc]
+        start, end, doc = start[keep], end[keep], doc[keep]
+        h = span_hashes(data, start, end) | np.uint64(1)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, n = self.start[slot], self.n[slot].astype(np.int64)
+        missed = np.flatnonzero(self.key[slot] != h)
+        if len(missed):
+            names, first, inverse = np.unique(h[missed], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            some = missed[first]
+            ids, sizes = self._learn([raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            starts = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat, ids])
+            at[missed], n[missed] = starts[inverse], sizes[inverse]
+            s = slot[some]
+            self.key[s], self.start[s], self.n[s] = names, starts, sizes
+        found = self.flat[segments(at, n)]
+        count = np.bincount(doc, n, len(texts)).astype(np.int64)
+        if odd.any():
+            which = np.flatnonzero(odd)
+            more, sizes = self._library([texts[i].as_py() for i in which.tolist()])
+            begin = np.cumsum(count) - count
+            begin[which], count[which] = len(found) + np.cumsum(sizes) - sizes, sizes
+            found = np.concatenate([found, more])[segments(begin, count)]
+        if len(self.flat) > KEPT_IDS:  # what no slot names any more goes
+            live = np.flatnonzero(self.key)
+            sizes = self.n[live].astype(np.int64)
+            self.flat = self.flat[segments(self.start[live], sizes)]
+            self.start[live] = np.cumsum(sizes) - sizes
+            if len(self.flat) > KEPT_IDS // 2:
+                self.key[:] = 0
+                self.flat = self.flat[:0]
+        return found, count
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -219,7 +264,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
 
         for batch in batches:
             for piece in pieces(batch):
-                ids, n = encoder.ids([t or "" for t in piece.column(1).to_pylist()])
+                ids, n = encoder.ids(piece.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 ends = np.cumsum(n + 1)
                 body = np.ones(len(out), bool)
@@ -237,7 +282,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
 
 
 def read_shards(blocks: DataFrame) -> DataFrame:
-    """From blocks: doc_id, start, n_tokens, ids_crc32, in the shards' order. Totals are summed over blocks, a row for half a million ids."""
+    """From blocks: doc_id, start, n_tokens, ids_crc32, in the shards' order. Totals are summed over blocks, a row for 130,000 ids."""
     order = Window.orderBy("shard", "block")
     first = blocks.select("shard", "block", "n_ids").withColumn("first", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
     spans = blocks.join(first, ["shard", "block"]).select("first", "doc_ids", "ends", "payload")
