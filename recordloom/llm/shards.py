@@ -113,7 +113,9 @@ class PieceEncoder:
         """The ids of all texts, one after another, and each text's number of ids."""
         offsets, data = text_bytes(texts)
         blank, odd = self._pieces(data, offsets)
-        edge = np.unique(np.concatenate([blank, offsets]))
+        mark = np.zeros(len(data) + 1, bool)
+        mark[blank] = mark[offsets] = True
+        edge = np.flatnonzero(mark)
         start, end = edge[:-1], edge[1:]
         doc = np.searchsorted(offsets, start, side="right") - 1
         keep = ~odd[doc]
