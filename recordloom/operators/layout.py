@@ -43,7 +43,7 @@ def line_windows(lines: DataFrame, document: str, order: list[str], text: str, s
             out = out.withColumn("window_confidence", F.bround(F.avg(own).over(frame), 3))
         if boxes:
             out = out.withColumn("window_box", geometry.box(F.min("x_min").over(frame), F.min("y_min").over(frame), F.max("x_max").over(frame), F.max("y_max").over(frame)))
-        parts.append(out.where(F.count(F.lit(1)).over(frame) == k) if k > 1 else out)
+        parts.append(out.withColumn("_full", F.count(F.lit(1)).over(frame)).where(F.col("_full") == k).drop("_full"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

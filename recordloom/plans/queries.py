@@ -172,7 +172,7 @@ def review_priority(spark, d):
 
 
 @query("""
-SELECT count(*) AS total, count_if(o_orderstatus IN ('O', 'P')) AS pending, count_if(o_orderstatus = 'F') AS completed,
+SELECT count(*) AS total, count_if(o_orderstatus IN ('O', 'P'))::BIGINT AS pending, count_if(o_orderstatus = 'F')::BIGINT AS completed,
        round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS completed_value FROM orders
 """)
 def queue_stats(spark, d):
@@ -247,7 +247,7 @@ SELECT vec_id,
   ((CASE WHEN (-0.1 > y) <> (-0.1 > y) THEN 1 ELSE 0 END)
   + (CASE WHEN (-0.1 > y) <> (0.12 > y) AND x < 0.1 + (y + 0.1) * (0.0 - 0.1) / (0.12 + 0.1) THEN 1 ELSE 0 END)
   + (CASE WHEN (0.12 > y) <> (-0.1 > y) AND x < 0.0 + (y - 0.12) * (-0.1 - 0.0) / (-0.1 - 0.12) THEN 1 ELSE 0 END)) % 2 = 1 AS inside,
-  round(sqrt(pow((y - (-0.08 / 3)) * 111320.0, 2) + pow(x * 111320.0 * cos(radians(-0.08 / 3)), 2)), 0) AS metres
+  round(round_even(sqrt(pow((y - (-0.08 / 3)) * 111320.0, 2) + pow(x * 111320.0 * cos(radians(-0.08 / 3)), 2)), 1), 0) AS metres
 FROM p
 """)
 def point_in_polygon(spark, d):
@@ -302,7 +302,7 @@ def contains_benchmark(spark, d):
 WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
 b AS (SELECT event_id AS p, user_id, ts AS pts FROM events WHERE event_type = 'purchase'),
 j AS (SELECT a.event_id, p, pts, a.ts, row_number() OVER (PARTITION BY a.event_id ORDER BY pts, p) AS r FROM a JOIN b USING (user_id) WHERE pts >= a.ts AND pts <= a.ts + INTERVAL 7 DAY)
-SELECT event_id, p AS purchase_id, epoch(pts)::BIGINT - epoch(ts)::BIGINT AS seconds FROM j WHERE r = 1
+SELECT event_id, p AS purchase_id, floor(epoch(pts))::BIGINT - floor(epoch(ts))::BIGINT AS seconds FROM j WHERE r = 1
 """)
 def nearest_right(spark, d):
     """For each view the user's nearest purchase within seven days; purchases are read once, in order, not joined pairwise."""
@@ -504,7 +504,7 @@ def adjacent_value(spark, d):
 
 
 @query("""
-WITH g AS (SELECT event_id, user_id, ts, CASE WHEN epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1800 THEN 1 ELSE 0 END AS n FROM events)
+WITH g AS (SELECT event_id, user_id, ts, CASE WHEN floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1800 THEN 1 ELSE 0 END AS n FROM events)
 SELECT event_id, user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM g
 """)
 def gap_islands(spark, d):
@@ -548,7 +548,7 @@ def stratified_split(spark, d):
     return datasets.stratified_split(t(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id")
 
 
-@query(f"""WITH {_SPLIT.strip()} SELECT lang, count_if(split = 'train') AS train, count_if(split = 'val') AS val, count_if(split = 'test') AS test, count(*) AS total FROM s GROUP BY lang""")
+@query(f"""WITH {_SPLIT.strip()} SELECT lang, count_if(split = 'train')::BIGINT AS train, count_if(split = 'val')::BIGINT AS val, count_if(split = 'test')::BIGINT AS test, count(*) AS total FROM s GROUP BY lang""")
 def split_distribution(spark, d):
     """A20."""
     return datasets.split_counts(datasets.stratified_split(t(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id"), "lang")
@@ -578,11 +578,11 @@ def coverage_sample(spark, d):
 
 @query("""
 WITH s AS (SELECT l.doc_id, least(d.n_chars / 4000.0::DOUBLE, 1.0) AS c, l.quality AS y FROM labels l JOIN documents d USING (doc_id)),
-b AS (SELECT i, i / 10.0::DOUBLE AS lo, (i + 1) / 10.0::DOUBLE AS hi FROM range(0, 10) r(i)),
+b AS (SELECT i, i * 0.1::DOUBLE AS lo, (i + 1) * 0.1::DOUBLE AS hi FROM range(0, 10) r(i)),
 g AS (SELECT i, count(c) AS n, avg(y::DOUBLE) AS acc, avg(c) AS conf, (any_value(lo) + any_value(hi)) / 2 AS mid
       FROM b LEFT JOIN s ON (c >= lo AND c < hi) OR (i = 9 AND c = 1.0) GROUP BY i),
-e AS (SELECT round(sum(n * abs(acc - conf)) / sum(n), 3) AS ece, round(max(abs(acc - conf)), 3) AS mce FROM g)
-SELECT i::INTEGER AS bin, n, coalesce(round(acc, 3), 0.0) AS accuracy, round(coalesce(conf, mid), 3) AS confidence, ece, mce FROM g, e
+e AS (SELECT round(round_even(sum(n * abs(acc - conf)) / sum(n), 4), 3) AS ece, round(round_even(max(abs(acc - conf)), 4), 3) AS mce FROM g)
+SELECT i::INTEGER AS bin, n, coalesce(round(round_even(acc, 4), 3), 0.0) AS accuracy, round(round_even(coalesce(conf, mid), 4), 3) AS confidence, ece, mce FROM g, e
 """)
 def reliability_bins(spark, d):
     """Bins of a score made from the length, against quality; empty bins stay."""
@@ -656,8 +656,8 @@ def eval_outcomes(spark, d):
 
 @query()
 def number_roles(spark, d):
-    """Numbers in turns and their roles."""
-    return extract.number_roles(t(spark, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "text")
+    """Numbers in documents and their roles."""
+    return extract.number_roles(t(spark, d, "documents"), "doc_id", "text")
 
 
 @query()
