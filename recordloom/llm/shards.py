@@ -40,7 +40,9 @@ COUNT_ALL = 1 << 17
 #: Places for remembered pieces, and ids that are kept for them.
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
-KEPT_IDS = 6_000_000
+KEPT_IDS = 4_000_000
+#: Text bytes that a worker looks at together: its arrays are some tens of times as large.
+ENCODE_BYTES = 1 << 19
 MAGIC = b"RPG1"
 
 
@@ -246,7 +248,7 @@ BLOCKS = "shard int, block int, n_docs long, n_ids long, doc_ids binary, ends bi
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encodes doc_id and text and returns the table of blocks as written, in ascending doc_id order by (shard, block)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 256)
     with open(tokenizer, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
 
@@ -265,7 +267,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], [*row])
 
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=ENCODE_BYTES):
                 ids, n = encoder.ids(piece.column(1))
                 out = np.full(len(ids) + len(n), end_id, np.uint32)
                 ends = np.cumsum(n + 1)
