@@ -40,7 +40,7 @@ COUNT_ALL = 1 << 17
 #: Places for remembered pieces, and ids that are kept for them.
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
-KEPT_IDS = 4_000_000
+KEPT_IDS = 5_000_000
 #: Text bytes that a worker looks at together: its arrays are some tens of times as large.
 ENCODE_BYTES = 1 << 19
 MAGIC = b"RPG1"
@@ -49,13 +49,15 @@ MAGIC = b"RPG1"
 class PieceEncoder:
     """Ids by the tokenizers library, which sees each piece of text once while it is remembered.
 
-    A piece is a blank with what follows it up to the next blank: byte-level BPE never joins what stands
-    on both sides. Texts in which white space follows a blank, that end in one or that may hold a special
+    A piece is a blank with what follows it up to the next blank, cut again between a word and a mark or a
+    line feed: byte-level BPE never joins what stands on both sides. Texts in which white space follows a blank, that end in one or that may hold a special
     token go to the library as they are. Pieces are found, hashed and looked up in numpy; the memory is a
     direct-mapped table of SLOTS piece hashes, in which a new piece takes the place of an old one.
     """
 
     _space = re.compile(r"\s")
+    #: 1: ASCII letters and digits, 2: other visible ASCII, 0: the rest.
+    _kind = np.array([1 if chr(c).isalnum() and c < 128 else 2 if 0x20 < c < 0x7F else 0 for c in range(256)], np.uint8)
     _ascii_space = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
     #: First and second bytes of other white space in UTF-8 (and of a little more).
     _wide = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
@@ -78,21 +80,28 @@ class PieceEncoder:
         n = np.array([len(i) for i in ids], np.int64)
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
+    def _joined(self, texts: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after another, and their numbers: encoded a few hundred at a time, joined, and told apart by their bytes."""
+        ids, _ = self._library([between.join(texts[i : i + 256]) + between for i in range(0, len(texts), 256)])
+        sizes = np.array([len(t.encode()) for t in texts], np.int64)
+        start = np.cumsum(sizes + len(between)) - sizes - len(between)
+        ends = np.cumsum(self.bytes_of[ids])
+        first = np.searchsorted(ends, start, side="right")
+        n = np.searchsorted(ends, start + sizes, side="right") - first
+        return ids[segments(first, n)], n
+
     def _learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, one after another, and their numbers. Pieces that begin with a blank and do not end with white
-        space are encoded joined, a few hundred at a time, and told apart by their bytes; the others one by one."""
+        """Ids of pieces, one after another, and their numbers. Pieces that begin with a blank can follow each other, those
+        that begin with a letter or digit can stand on lines of their own; the rest is encoded one by one."""
         space = self._space.match
-        joins = [p[0] == " " and len(p) > 1 and not space(p[-1]) for p in fresh]
-        joined, alone = [p for p, j in zip(fresh, joins, strict=True) if j], [p for p, j in zip(fresh, joins, strict=True) if not j]
-        ids, _ = self._library(["".join(joined[i : i + 256]) for i in range(0, len(joined), 256)])
-        ends = np.cumsum([len(p.encode()) for p in joined], dtype=np.int64)
-        n = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0)
-        more, n_more = self._library(alone)
-        total, sizes = np.concatenate([ids, more]), np.concatenate([n, n_more])
+        kinds = np.array([2 if space(p[-1]) or p == " " else 0 if p[0] == " " else 1 if p[0].isascii() and p[0].isalnum() else 2 for p in fresh])
+        which = [np.flatnonzero(kinds == k) for k in range(3)]
+        groups = [[fresh[i] for i in w.tolist()] for w in which]
+        found = [self._joined(groups[0], ""), self._joined(groups[1], "\n"), self._library(groups[2])]
+        total, sizes = (np.concatenate([f[i] for f in found]) for i in range(2))
+        place = np.empty(len(fresh), np.int64)
+        place[np.concatenate(which)] = np.arange(len(fresh))
         starts = np.cumsum(sizes) - sizes
-        place = np.empty(len(fresh), np.int64)  # of each piece among joined and alone
-        at = np.array(joins, bool)
-        place[at], place[~at] = np.arange(len(joined)), np.arange(len(alone)) + len(joined)
         return total[segments(starts[place], sizes[place])], sizes[place]
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +126,13 @@ class PieceEncoder:
         blank, odd = self._pieces(data, offsets)
         mark = np.zeros(len(data) + 1, bool)
         mark[blank] = mark[offsets] = True
+        # more places that no token spans: before a mark after a letter or digit, before a line feed, and after a single one
+        if len(data) > 2:
+            kind = self._kind[data]
+            mark[1:-1] |= (kind[:-1] == 1) & (kind[1:] == 2)
+            feed = (data[1:] == 0x0A) & (kind[:-1] > 0)
+            mark[1:-1] |= feed
+            mark[2:-1] |= feed[:-1] & (kind[2:] == 1)
         edge = np.flatnonzero(mark)
         start, end = edge[:-1], edge[1:]
         doc = np.searchsorted(offsets, start, side="right") - 1
@@ -149,14 +165,14 @@ class PieceEncoder:
             sizes = self.n[live].astype(np.int64)
             self.flat = self.flat[segments(self.start[live], sizes)]
             self.start[live] = np.cumsum(sizes) - sizes
-            if len(self.flat) > KEPT_IDS // 2:
+            if len(self.flat) > KEPT_IDS * 4 // 5:
                 self.key[:] = 0
                 self.flat = self.flat[:0]
         return found, count
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
 
 
 def compress(ids: np.ndarray) -> bytes:
@@ -177,7 +193,7 @@ def compress(ids: np.ndarray) -> bytes:
             break
         seen = seen[order]
         slot, own = np.unique(_slot(seen), return_index=True)  # of pairs with one slot the most frequent stays
-        rank_at, key_at = np.full(1 << 20, 1 << 30, np.int64), np.zeros(1 << 20, np.uint64)
+        rank_at, key_at = np.full(1 << 17, 1 << 30, np.int64), np.zeros(1 << 17, np.uint64)
         rank_at[slot], key_at[slot] = own, seen[own]
         h = _slot(key)
         rank = np.where(key_at[h] == key, rank_at[h], 1 << 30)
