@@ -9,6 +9,8 @@ bpe         each remaining row's ids, as number and digests
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,29 +21,44 @@ from recordloom.llm.common import small_batches, stored, table
 TOXIC = 0.5
 
 
+#: The columns that stages read; others are carried under names that clash with nothing.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """work() on docs, whose further columns come back with their own names and values."""
+    named = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c not in COLUMNS}
+    out = work(docs.withColumnsRenamed(named))
+    return out.select(*[F.col(named.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score, learned from the labels that are not held out, is below TOXIC."""
     small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, score="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return carried(docs, lambda df: toxicity.score_documents(df, model, score="_toxicity").where(F.col("_toxicity") < TOXIC))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
-    return jaccard.near_duplicates(docs).where("first_of_class").select(*docs.columns)
+    return carried(docs, lambda df: jaccard.near_duplicates(df).where("first_of_class"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the passages that one with a smaller id has; n_chars follows the text."""
-    out = substrings.remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+
+    def work(df: DataFrame) -> DataFrame:
+        out = substrings.remove_repeats(df)
+        if "n_chars" not in df.columns:
+            return out
+        return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+
+    return carried(docs, work)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, each as often as its source's rate and its id's hash say, in global random order."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return carried(docs, mixing.mix_sources)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,5 +43,6 @@ def test_stages_take_odd_rows(spark, odd, none, small):
                 assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
                 out.count()
             else:
-                assert out.columns == docs.columns and out.schema == docs.schema or [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+                assert out.dtypes == docs.dtypes
+                assert {r.n_words for r in out.collect()} <= {1}
                 assert out.count() <= 3 * max(1, docs.count())
