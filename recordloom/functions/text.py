@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: First code points of the decimal digits of Devanagari, Kannada, Tamil, Telugu, Bengali and Gujarati.
 DIGIT_ZEROS = (0x0966, 0x0CE6, 0x0BE6, 0x0C66, 0x09E6, 0x0AE6)
@@ -84,7 +85,7 @@ def plain_digits(x: Column | str) -> Column:
 
 
 def _normalizer(form: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
 
@@ -206,7 +207,7 @@ def cer(reference: Column | str, hypothesis: Column | str) -> Column:
     return F.when(F.length(r) == 0, F.when(F.length(h) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(r, h) / F.length(r))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _word_distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     def one(r: str | None, h: str | None) -> int | None:
         if r is None or h is None:

@@ -121,20 +121,25 @@ def next_line_values(lines: Column, anchors: dict[str, list[str]], threshold: fl
     all_terms = [t.lower() for own in anchors.values() for t in own]
     anchored = lambda t: F.exists(F.array(*[F.lit(a) for a in all_terms]), lambda a: F.contains(F.lower(t), a))
     n = F.size(lines)
-    found = []
-    for field, own in anchors.items():
-        def hit(i: Column, own=own, field=field) -> Column:
+
+    def hits_of(own: list[str]) -> Column:
+        def hit(i: Column) -> Column:
             line, after = F.get(lines, i), F.get(lines, i + 1)
-            rests = [F.when(F.position(F.lit(t.lower()), F.lower(line["text"])) > 0, F.regexp_replace(F.substring(line["text"], F.position(F.lit(t.lower()), F.lower(line["text"])) + len(t), F.length(line["text"])), r"^[\s:=\-.]+", "")) for t in own]
+            at = [F.position(F.lit(t.lower()), F.lower(line["text"])) for t in own]
+            rests = [F.when(p > 0, F.regexp_replace(F.substring(line["text"], p + len(t), F.length(line["text"])), r"^[\s:=\-.]+", "")) for p, t in zip(at, own, strict=True)]
             rest = strip(F.coalesce(*rests))
             use_next = rest.isNotNull() & ~has_content(rest) & after.isNotNull() & ~anchored(after["text"])
             value = F.when(has_content(rest), rest).when(use_next, strip(after["text"]))
             conf = F.when(has_content(rest), line["confidence"]).otherwise(F.least(line["confidence"], after["confidence"]))
             return F.when(has_content(value), F.struct(value.alias("value"), conf.cast("double").alias("confidence")))
 
-        all_hits = F.array_compact(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), hit))
+        numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_compact(F.transform(numbers, hit))
+
+    found = []
+    for field, own in anchors.items():
         start = F.lit(None).cast("struct<value:string,confidence:double>")
-        best = F.aggregate(all_hits, start, lambda s, h: F.when(s.isNull() | ((s["confidence"] < threshold) & (h["confidence"] > s["confidence"])), h).otherwise(s))
+        best = F.aggregate(hits_of(own), start, lambda s, h: F.when(s.isNull() | ((s["confidence"] < threshold) & (h["confidence"] > s["confidence"])), h).otherwise(s))
         found += [F.lit(field), best]
     return F.map_filter(F.create_map(*found), lambda k, v: v.isNotNull())
 
@@ -142,10 +147,13 @@ def next_line_values(lines: Column, anchors: dict[str, list[str]], threshold: fl
 def table_values(tables: DataFrame, columns: dict[str, list[str]], document: str = "document_id") -> DataFrame:
     """The first cell with content under a header that holds one of a field's words."""
     rows = tables.select(document, "headers", F.posexplode("rows").alias("row_no", "cells"))
-    found = []
-    for field, words in columns.items():
-        at = F.filter(F.transform("headers", lambda h, i: F.struct(F.lower(h).alias("h"), i.alias("i"))), lambda x, words=words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(x["h"], w)))
-        found.append(F.transform(at, lambda x, field=field: F.struct(F.lit(field).alias("field_name"), x["i"].alias("column_no"), F.get("cells", x["i"]).alias("raw_value"))))
+
+    def cells_of(field: str, words: list[str]) -> Column:
+        named = F.transform("headers", lambda h, i: F.struct(F.lower(h).alias("h"), i.alias("i")))
+        at = F.filter(named, lambda x: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(x["h"], w)))
+        return F.transform(at, lambda x: F.struct(F.lit(field).alias("field_name"), x["i"].alias("column_no"), F.get("cells", x["i"]).alias("raw_value")))
+
+    found = [cells_of(field, words) for field, words in columns.items()]
     cells = rows.select(document, "row_no", F.explode(F.concat(*found)).alias("m")).select(document, "row_no", "m.*").where(has_content("raw_value"))
     return cells.groupBy(document, "field_name").agg(F.min_by(strip("raw_value"), F.struct("column_no", "row_no")).alias("raw_value"))
 

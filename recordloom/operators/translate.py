@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.functions.text import _c, collapse, fold_replace, script_is_kannada, strip
 
@@ -25,7 +26,7 @@ _VERBATIM = (
 _PATTERN = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _VERBATIM))
 
 
-@F.pandas_udf("struct<text:string,parts:map<string,string>>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("parts", T.MapType(T.StringType(), T.StringType()))]))
 def protect(s: pd.Series) -> pd.DataFrame:
     """Numbered place holders for what must not be translated, and what they stand for."""
 
@@ -112,7 +113,7 @@ def transliterate_word(word: str, known: dict[str, str] | None = None) -> str:
 
 
 def transliterate(x: Column | str, known: dict[str, str] | None = None) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: " ".join(transliterate_word(w, known) for w in t.split()), na_action="ignore")
 
