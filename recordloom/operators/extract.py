@@ -230,8 +230,8 @@ def values_by_layout(tokens_: DataFrame, anchors: dict[str, str], page: list[str
 
 
 def values_exclusive(regions: DataFrame, anchors: dict[str, str], page: list[str], right: float = 350.0, down: float = 120.0) -> DataFrame:
-    """Anchors in reading order take the nearest region to the right or below that no anchor has taken yet."""
-    rows = regions.withColumn("field", anchor_of("text", anchors))
+    """Anchors in reading order take their inline value, else the nearest region to the right or below that no anchor has taken yet."""
+    rows = regions.withColumn("field", anchor_of("text", anchors)).withColumn("inline", inline_value("text"))
     kept = ", ".join(f"{c} {dict(regions.dtypes)[c]}" for c in page)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,6 +241,10 @@ def values_exclusive(regions: DataFrame, anchors: dict[str, str], page: list[str
         for a in pdf.itertuples():
             if not isinstance(a.field, str) or a.field in seen:
                 continue
+            if isinstance(a.inline, str):
+                seen.add(a.field)
+                out.append((*[getattr(a, c) for c in page], a.field, a.inline, 0.0))
+                continue
             best = None
             for i, v in free.items():
                 dx, dy = v.x_min - a.x_max, v.y_min - a.y_max

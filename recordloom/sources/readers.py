@@ -62,7 +62,7 @@ def ring_is_valid(ring: Column) -> Column:
 
 def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with numbers from 1; line_no orders the lines of a file, which Spark may read in parts."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")
 
 
@@ -82,7 +82,7 @@ def csv_labels(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def json_labels(spark: SparkSession, path: str) -> DataFrame:
     """File, label, line_no from {file: text}, {file: {text: ...}} or [{file: ..., text: ...}]."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     whole.createOrReplaceTempView("_json_labels")
     rows = spark.sql("SELECT t.pos, t.key, t.value FROM _json_labels, LATERAL variant_explode(v) AS t")
     get = lambda names: F.coalesce(*[F.try_variant_get("value", f"$.{n}", "string") for n in names])
@@ -126,7 +126,7 @@ def ground_truth(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def state_configs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Configuration files as dimensions: terms, units, patterns, rules (all with state)."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.upper(F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1)).alias("state"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.upper(F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1)).alias("state"), "value")
     c = whole.select("state", F.from_json("value", "terminology map<string,array<string>>, unit_conversions_to_hectares map<string,double>, fields map<string,struct<type:string,required:boolean,patterns:array<string>>>, validation_rules map<string,struct<min:double,max:double,pattern:string,min_length:int,max_length:int,message:string>>").alias("c"))
     fields = c.select("state", F.explode("c.fields").alias("field_name", "f"))
     return {
