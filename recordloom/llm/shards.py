@@ -15,6 +15,7 @@ columns are not carried.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -40,7 +41,7 @@ COUNT_ALL = 1 << 17
 #: Places for remembered pieces, and ids that are kept for them.
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
-KEPT_IDS = 5_000_000
+KEPT_IDS = 3_500_000
 #: Text bytes that a worker looks at together: its arrays are some tens of times as large.
 ENCODE_BYTES = 1 << 19
 MAGIC = b"RPG1"
@@ -63,6 +64,7 @@ class PieceEncoder:
     _wide = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
 
     def __init__(self, source: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread; the library's own pool costs memory in each worker
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(source)
@@ -165,7 +167,7 @@ class PieceEncoder:
             sizes = self.n[live].astype(np.int64)
             self.flat = self.flat[segments(self.start[live], sizes)]
             self.start[live] = np.cumsum(sizes) - sizes
-            if len(self.flat) > KEPT_IDS * 4 // 5:
+            if len(self.flat) > KEPT_IDS * 7 // 8:
                 self.key[:] = 0
                 self.flat = self.flat[:0]
         return found, count
