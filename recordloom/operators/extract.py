@@ -44,6 +44,7 @@ def document_type(text: Column | str, keywords: dict = KEYWORDS) -> Column:
     low = F.lower(F.coalesce(_c(text), F.lit("")))
     n = {k: hits(low, w) for k, w in keywords.items()}
     land = n["rtc"] + n["khata"] + n["mutation"] + n["other"] + n["general"]
+    # fixed values: the types' names as stored, and their confidences
     say = lambda t, c: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"))
     has = lambda w: F.contains(low, F.lit(w))
     return (
