@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.functions.text import _c
 
+#: Vectors of one block of the search, on the side that is asked and on the side that is searched.
+ASKED_ROWS, SEARCHED_ROWS = 4096, 2048
+
 
 def exact(rows: DataFrame, key: str, arrival: str, digest: Column | str) -> DataFrame:
     """For each row the last earlier row with its digest (duplicate_of), null for the first."""
@@ -41,7 +50,7 @@ def nearest_in_block(rows: DataFrame, key: str, vector: str, block: str, thresho
 
 
 def tfidf_vectors(rows: DataFrame, text: str, features: int = 1000) -> DataFrame:
-    """Unit TF-IDF vectors of words and word pairs, fitted once on the whole corpus."""
+    """J18, its vectors: unit TF-IDF vectors of words and word pairs, fitted once on the whole corpus."""
     split = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[^\p{L}\p{M}\p{N}_]+", minTokenLength=2).transform(rows.na.fill("", [text]))
     pairs = NGram(n=2, inputCol="_w", outputCol="_p").transform(split).withColumn("_t", F.concat("_w", "_p"))
     counted = CountVectorizer(vocabSize=features, inputCol="_t", outputCol="_c").fit(pairs).transform(pairs)
@@ -49,6 +58,76 @@ def tfidf_vectors(rows: DataFrame, text: str, features: int = 1000) -> DataFrame
     return Normalizer(inputCol="_i", outputCol="tfidf").transform(weighed).drop("_w", "_p", "_t", "_c", "_i")
 
 
+def most_similar(rows: DataFrame, key: str, vector: str, asked: Column, threshold: float = 0.85) -> DataFrame:
+    """J18, its search: for each asked row the other row with the highest cosine, where that is threshold or more.
+
+    Vectors are unit vectors as tfidf_vectors makes them. Every asked row is compared with all rows, in double precision,
+    block by block; cosines equal to 12 digits go to the smaller key. Rows with null keys or without terms match nothing.
+    Returns id, other_id, similarity. Work grows with asked rows times rows.
+    """
+    small = lambda df, n: max(1, -(-df.count() // n))
+    v = F.unwrap_udt(F.col(vector))
+    entries = lambda df: df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), v["size"].alias("size"), v["indices"].alias("at"), v["values"].alias("value")).where(F.size("at") > 0)
+    id_type = rows.schema[key].dataType
+    packed = T.StructType([T.StructField("ids", T.ArrayType(id_type)), T.StructField("size", T.IntegerType()), T.StructField("n", T.BinaryType()), T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
+
+    def pack(t: pa.Table) -> pa.RecordBatch:
+        t = t.select(["id", "size", "at", "value"]).sort_by("id").combine_chunks()
+        at, value = t["at"].combine_chunks(), t["value"].combine_chunks()
+        one = lambda a, kind: pa.array([a.to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary())
+        ids = pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), t["id"].combine_chunks())
+        return pa.RecordBatch.from_arrays([ids, pa.array([t["size"][0].as_py()], pa.int32()), one(at.value_lengths(), np.int32), one(at.flatten(), np.int32), one(value.flatten(), np.float64)], ["ids", "size", "n", "at", "value"])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for first in range(0, batch.num_rows, SEARCHED_ROWS):
+                part = batch.slice(first, SEARCHED_ROWS)
+                if n + part.num_rows > SEARCHED_ROWS:
+                    yield pack(pa.Table.from_batches(held))
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if n:
+            yield pack(pa.Table.from_batches(held))
+
+    def dense(size: int, n: bytes, at: bytes, value: bytes) -> np.ndarray:
+        n = np.frombuffer(n, np.int32)
+        out = np.zeros((len(n), size))
+        out[np.repeat(np.arange(len(n)), n), np.frombuffer(at, np.int32)] = np.frombuffer(value, np.float64)
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                load = lambda side: dense(row[f"{side}_size"].as_py(), *(row[f"{side}_{c}"].as_py() for c in ("n", "at", "value")))  # noqa: B023, E731
+                asked_ids, ids = row["a_ids"].values, row["s_ids"].values
+                if last is None or not last.equals(asked_ids):
+                    last, a = asked_ids, load("a")
+                cos = np.round(a @ load("s").T, 12)
+                known = asked_ids.unique()
+                mine, theirs = (pc.index_in(x, known).fill_null(-1).to_numpy(zero_copy_only=False) for x in (asked_ids, ids))
+                for j in np.flatnonzero(theirs >= 0):  # not itself, nor a row of its key
+                    cos[mine == theirs[j], j] = -1.0
+                best = cos.argmax(axis=1)
+                top = cos[np.arange(len(best)), best]
+                hit = np.flatnonzero(top >= threshold)
+                yield pa.RecordBatch.from_arrays([asked_ids.take(pa.array(hit)), ids.take(pa.array(best[hit])), pa.array(top[hit])], ["id", "other_id", "similarity"])
+
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in packed.names])
+    asked_rows = rows.where(asked)
+    n_asked, n_searched = small(asked_rows, ASKED_ROWS), small(rows, SEARCHED_ROWS)
+    blocks = entries(asked_rows).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_asked))).groupBy("block")
+    a = side(blocks.applyInArrow(lambda t: pa.Table.from_batches([pack(t)]), packed).repartition(n_asked), "a")
+    s = side(entries(rows).mapInArrow(packs, packed).repartition(n_searched), "s")
+    found = T.StructType([T.StructField("id", id_type), T.StructField("other_id", id_type), T.StructField("similarity", T.DoubleType())])
+    # one row a pair of blocks
+    matches = s.crossJoin(a).mapInArrow(compare, found)
+    return matches.groupBy("id").agg(F.min_by(F.struct("other_id", "similarity"), F.struct(-F.col("similarity"), "other_id")).alias("m")).select("id", "m.*")
+
+
 def hash_bits(x: Column | str, words: int = 4) -> list[Column]:
     """A hex digest of 64 x words bits as numbers, from its halves of 32 bits."""
     x = _c(x)

@@ -252,3 +252,32 @@ def test_translation(spark):
     assert one(spark, translate.repair(F.lit("a  b ,c\nnoise here"), {"b": "B"}, ("noise",))) == "a B, c"
     assert one(spark, translate.purity(F.lit("ಅ ab"), F.lit("x ಅ")))["pure"] is False
     assert one(spark, translate.gate(F.lit(0.7))) == "FLAGGED"
+
+
+def test_tfidf_matches_are_all_found(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(duplicates, "ASKED_ROWS", 7)
+    monkeypatch.setattr(duplicates, "SEARCHED_ROWS", 30)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(1000, "zeta eta theta iota"), (1001, "zeta eta theta iota"), (1002, "zeta eta theta iota"), (1003, ""), (1004, None), (None, "zeta eta theta iota")], "doc_id long, text string")
+    rows = duplicates.tfidf_vectors(docs.union(extra), "text", 3000).cache()
+    known = [(r.doc_id, r.tfidf.toArray()) for r in rows.where("doc_id is not null").collect()]
+    ids, v = np.array([k for k, _ in known]), np.array([x for _, x in known])
+    cos = np.round(v @ v.T, 12)
+    cos[ids[:, None] == ids] = -1
+    want = {}
+    for i, k in enumerate(ids):
+        if k % 5 == 0 and cos[i].max() >= 0.85:
+            want[int(k)] = (int(ids[cos[i] == cos[i].max()].min()), round(float(cos[i].max()), 9))
+    got = duplicates.most_similar(rows, "doc_id", "tfidf", F.col("doc_id") % 5 == 0).collect()
+    assert {r.id: (r.other_id, round(r.similarity, 9)) for r in got} == want
+    assert len(got) == len(want) > 5 and want[1000] == (1001, 1.0)
+
+
+def test_tfidf_query_gives_matches(spark):
+    from recordloom import catalog
+
+    got = catalog.queries()["tfidf_lengths"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.doc_id, r.match_id) for r in got} >= {(0, 61), (120, 2)}
+    assert all(r.doc_id % 20 == 0 and r.match_id != r.doc_id and 0.85 <= r.similarity <= 1 for r in got)
