@@ -1,8 +1,9 @@
 """Token-id shards in Re-Pair grammar compression.
 
 Documents are dealt to shards by ranges of doc_id and sorted within them. A shard is a run of blocks
-of about a million ids. In each block frequent pairs of neighbouring ids are replaced by nonterminals,
-round after round; a block stores its rules, the rules' expansion lengths and the compressed
+of 131,072 ids or a little more, each with a grammar of its own. In each block frequent pairs of
+neighbouring ids are replaced by nonterminals, round after round, until no pair is frequent or the
+symbols of 16 bits (2^14 rules where ids need more) are used up; a block stores its rules, the rules' expansion lengths and the compressed
 sequence, so a range of ids is decoded without the rest.
 
 Blocks are rows of a Parquet table in the shared folder, one binary value a block: Spark's committer
@@ -33,11 +34,8 @@ from recordloom.llm.common import partitions, pieces, segments, small_batches, s
 END_ID = 2
 #: A block is closed at this many ids; a longer document gets a block of its own.
 BLOCK_IDS = 1 << 17
-ROUNDS = 4
-#: Pairs of a round must occur this often where they are counted.
+#: Pairs of a round must occur this often; all positions count. Any choice of rules is lossless.
 MIN_COUNT = 6
-#: Pairs are counted at every position, or in larger blocks at every fourth; any choice of rules is lossless.
-COUNT_ALL = 1 << 17
 #: Places for remembered pieces, and ids that are kept for them.
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
@@ -183,14 +181,12 @@ def compress(ids: np.ndarray) -> bytes:
     base = max(int(s.max()) + 1 if len(s) else 0, 1 << 15)
     room = max(0, (1 << 16) - base) if base < 1 << 16 else 1 << 14
     left, right, made = [], [], 0
-    for i in range(ROUNDS):
-        if len(s) < 2 * MIN_COUNT or made >= room:
-            break
+    while len(s) >= 2 * MIN_COUNT and made < room:
         key = (s[:-1] << np.uint64(32)) | s[1:]
-        seen, count = np.unique(key if len(key) <= COUNT_ALL else key[i % 4 :: 4], return_counts=True)
+        seen, count = np.unique(key, return_counts=True)
         often = count >= MIN_COUNT
         seen, count = seen[often], count[often]
-        order = np.lexsort((seen, -count))[: -(-(room - made) // (ROUNDS - i))]
+        order = np.lexsort((seen, -count))[: -(-(room - made) // 2)]
         if not len(order):
             break
         seen = seen[order]
@@ -200,12 +196,13 @@ def compress(ids: np.ndarray) -> bytes:
         h = _slot(key)
         rank = np.where(key_at[h] == key, rank_at[h], 1 << 30)
         least = np.concatenate([[1 << 30], rank, [1 << 30]])
-        pick = np.flatnonzero((rank < 1 << 30) & (rank < least[:-2]) & (rank <= least[2:]))
+        # of a run of one id every second pair is taken
+        at = np.arange(len(rank))
+        even = (at - np.maximum.accumulate(np.where(rank != least[:-2], at, 0))) % 2 == 0
+        pick = np.flatnonzero((rank < 1 << 30) & (rank <= least[:-2]) & (rank <= least[2:]) & even)
         used = np.bincount(rank[pick], minlength=len(seen))
         good = used >= 3
         pick = pick[good[rank[pick]]]
-        if not len(pick):
-            continue
         name = np.cumsum(good) - 1 + base + made
         left.append((seen[good] >> np.uint64(32)).astype(np.uint32))
         right.append((seen[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32))

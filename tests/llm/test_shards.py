@@ -28,6 +28,19 @@ def test_repeats_get_smaller():
     assert len(shards.compress(ids)) < 2 * len(ids) * 0.6
 
 
+def test_rules_are_made_until_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    phrase = rng.integers(0, 30000, 600)
+    noise = [rng.integers(0, 30000, 13_000) for _ in range(12)]
+    ids = np.concatenate([x for part in noise for x in (phrase, part)] + [np.full(64, 7)]).astype(np.uint32)
+    assert len(ids) > shards.BLOCK_IDS
+    block = shards.Block(shards.compress(ids))
+    assert (block.ids() == ids).all()
+    assert block.lengths.max() > 500
+    _, count = np.unique((block.sequence[:-1] << 32) | block.sequence[1:], return_counts=True)
+    assert count.max() < shards.MIN_COUNT
+
+
 def test_pieces_equal_the_library():
     rng = random.Random(3)
     parts = ["a", "b", "É", " ", "  ", "\t", "\n", "\x1c", "\x85", " ", " ", "\0", "中", "🙂", "12", "!", "<|endoftext|>", "'s"]
