@@ -41,7 +41,18 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and returns it as read from there."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables made by stored(), once all that is read from them is stored itself."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -78,6 +89,47 @@ def join_path(*parts: str) -> str:
     return str(PurePosixPath(*parts))
 
 
+# ---------------------------------------------------------------- joins
+
+#: Bits of a sieve: at most SIEVE_BITS / 64 rows of two numbers are broadcast (some 20 MB), whatever the number of ids.
+SIEVE_BITS = 1 << 25
+#: Groups that meet their rows by broadcast, and the rows from which a group may be one of them.
+HOT_GROUPS, HOT_ROWS = 10_000, 256
+
+
+def _bit(keys: tuple[str, ...]):
+    return F.pmod(F.xxhash64(*keys), F.lit(SIEVE_BITS))
+
+
+def _mask(keys: tuple[str, ...]):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (_bit(keys) % 64).cast("int"))
+
+
+def sieve(ids: DataFrame, *keys: str) -> DataFrame:
+    """A hashed bitmap of ids, as words of 64 bits; more ids than bits let more through, and lose none."""
+    words = ids.select(F.floor(_bit(keys) / 64).cast("int").alias("_word"), _mask(keys).alias("_m"))
+    return stored(words.groupBy("_word").agg(F.bit_or("_m").alias("_mask")), "sieve")
+
+
+def sieved(df: DataFrame, words: DataFrame, *keys: str) -> DataFrame:
+    """df with _maybe: false for rows whose keys are surely not among the ids of the sieve."""
+    named = df.withColumn("_word", F.floor(_bit(keys) / 64).cast("int")).join(F.broadcast(words), "_word", "left")
+    return named.withColumn("_maybe", F.coalesce(F.col("_mask").bitwiseAND(_mask(keys)) != 0, F.lit(False))).drop("_word", "_mask")
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with groups, unique by keys and with their number of rows in size.
+
+    The HOT_GROUPS largest groups meet their rows by broadcast, so that no hot key lands in one task; all others by a shuffle.
+    """
+    hot = stored(groups.where(F.col(size) >= HOT_ROWS).orderBy(F.desc(size), *keys).limit(HOT_GROUPS), "hot-groups")
+    if hot.isEmpty():
+        return rows.join(groups, keys, how)
+    few = F.broadcast(hot.select(*keys))
+    rest = rows.join(few, keys, "left_anti").join(groups.join(few, keys, "left_anti"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 # ---------------------------------------------------------------- hashing
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import stored
+from recordloom.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,19 +23,21 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("further"))
             jumped = stored(parent.join(up, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "parent")
-            done = jumped.where("moved").isEmpty()
-            parent = jumped.select("node", "root")
-            if done:
+            discard(parent)
+            parent = jumped
+            if jumped.where("moved").isEmpty():
                 break
         names = parent.select(F.col("node").alias("old"), F.col("root").alias("new"))
         ends = links.join(names.withColumnsRenamed({"old": "a", "new": "na"}), "a", "left").join(names.withColumnsRenamed({"old": "b", "new": "nb"}), "b", "left")
         ends = ends.select(F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y")).where("x != y")
-        if label is None:
-            label = parent
-        else:
+        left = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        own = parent.select("node", "root")
+        if label is not None:
             moved = label.join(names.withColumnsRenamed({"old": "root"}), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-            label = stored(moved.unionByName(parent.join(label, "node", "left_anti")), "label")
-        links = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+            own = moved.unionByName(own.join(label, "node", "left_anti"))
+        renamed = stored(own, "label")
+        discard(links, parent, label)
+        links, label = left, renamed
     if label is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return label.unionByName(label.select(F.col("root").alias("node"), "root").distinct())

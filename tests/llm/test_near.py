@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
-from recordloom.llm import jaccard
+from recordloom.llm import common, jaccard
 from recordloom.llm.components import components
-from tests.llm.plain import near
+from tests.llm.plain import near, shingles
 
 
 def test_components(spark):
@@ -47,11 +48,7 @@ def variants(seed=0, groups=12):
     return out
 
 
-@pytest.mark.parametrize("leaf", [32, 2])
-def test_equals_brute_force(spark, monkeypatch, leaf):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)  # 2: nearly all buckets are split again
-    monkeypatch.setattr(jaccard, "BLOCK", 4)  # components of several blocks
-    texts = variants()
+def equals_plain(spark, texts):
     df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, class_id string")
     rows = jaccard.near_duplicates(df).orderBy("doc_id").collect()
     links, groups = near(texts)
@@ -61,6 +58,50 @@ def test_equals_brute_force(spark, monkeypatch, leaf):
     assert [r.first_of_class for r in rows] == [i == g for i, g in enumerate(groups)]
 
 
+@pytest.mark.parametrize(("leaf", "part", "block"), [(32, 1 << 15, 128), (2, 1 << 15, 3), (2, 4, 3)])
+def test_equals_brute_force(spark, monkeypatch, leaf, part, block):
+    monkeypatch.setattr(jaccard, "LEAF", leaf)  # 2: nearly all buckets are split again
+    monkeypatch.setattr(jaccard, "PART", part)  # 4: in several parts
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # 3: most components are compared by differences
+    monkeypatch.setattr(jaccard, "DIFF_BLOCK", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    equals_plain(spark, variants())
+
+
+def template_copies(n=400, words=120, edits=4):
+    """Near copies of one template, some of them linked whatever they share and some not, and some edited alike."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        t = base[:]
+        for _ in range(rng.randint(0, edits)):
+            t[rng.choice([7, words // 2, words - 9]) if rng.random() < 0.3 else rng.randrange(words)] = f"x{rng.randrange(4)}"
+        if i % 7 == 0:
+            t = t[: rng.randint(words * 3 // 4, words)]
+        out.append(" ".join(t))
+    return out
+
+
+def test_one_large_group_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "DIFF_BLOCK", 64)
+    equals_plain(spark, template_copies())
+
+
+def test_bins_decide_rightly():
+    texts = template_copies(60, 40, 3)
+    sets = [shingles(t) for t in texts]
+    base, step = sets[0], 2
+    up = lambda x: -(-x // step) * step
+    size, lacks = np.array([up(len(s)) for s in sets]), np.array([up(len(base - s)) for s in sets])
+    yes, no = jaccard.decided(len(base), step, size, lacks, size, lacks, 0.8)
+    assert yes.any() and no.any()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            linked = len(x & y) / len(x | y) >= 0.8
+            assert linked if yes[i, j] else not (linked and no[i, j])
+
+
 def test_odd_rows(spark, odd, none):
     rows = jaccard.near_duplicates(odd).collect()
     assert len(rows) == odd.count() and "score" in rows[0].asDict()
@@ -74,7 +115,24 @@ def test_odd_rows(spark, odd, none):
 
 
 def test_runs_reach_the_target():
-    assert (1 - 2.718281828**-jaccard.RUNS) >= jaccard.TARGET
+    """Pairs at the threshold that share a path of so many tokens in some run, counted on drawn sketches."""
+    rng = np.random.default_rng(3)
+    trials, k = 3000, jaccard.SKETCH
+    common_tokens = round(k * jaccard.SIMILARITY)
+    tokens = rng.integers(0, 1 << 32, (trials, common_tokens)).astype(np.uint64).ravel()
+    sizes = np.full(trials, common_tokens)
+    hit = np.zeros(trials, bool)
+    for r in range(jaccard.RUNS):
+        before = np.full(trials, r + 1, np.uint64)
+        owner = np.arange(trials)
+        for depth in range(jaccard.DEPTH):
+            at = jaccard.segments(owner * common_tokens, sizes[owner])
+            path, own = np.repeat(before, sizes[owner]), np.repeat(owner, sizes[owner])
+            seed = jaccard.mix(path * jaccard._STEP) if depth == 0 else jaccard.mix(path + jaccard._STEP)
+            chosen = jaccard._chosen(jaccard.mix(tokens[at] ^ seed), np.full(len(at), k))
+            before, owner = jaccard.path_hash(path[chosen], tokens[at][chosen]), own[chosen]
+        hit[owner] = True
+    assert jaccard.RUNS == jaccard.runs_for(0.8) and hit.mean() >= 0.999
 
 
 def test_query(spark, small):
