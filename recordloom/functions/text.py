@@ -25,7 +25,7 @@ NAME_TAILS = r"ರವರ\s*ಹೆಸರಿನಲ್ಲಿ|ರವರ|ರವರಿ
 LOCALITY_LABELS = r"Locality|ಸಳಸಳೀಯಹೆಸರು|ಸ್ಥಳೀಯ\s*ಹೆಸರು|ಬಡಾವಣೆ|Village|ಗ್ರಾಮ"
 TALUK_LABELS = r"Taluk|ತಾಲೂಕು|ತಾಲ್ಲೂಕು|ತಾಲೂಕ್|Sub\s*Division|ಉಪ\s*ವಿಭಾಗ|ಉಪಏಭಾಗ"
 DISTRICT_LABELS = "District|ಜಿಲ್ಲೆ|ಬಲೈ"
-PARCEL_LABELS = r"Survey[\s\-_/]*(?:Number|No|Num)?|Sy\.?[\s\-_/]*No\.?|ಸರ್ವೆ[\s\-_/]*(?:ನಂ|ನಂಬರ್)?"
+PARCEL_LABELS = r"Survey[\s\-_/]*(?:Number|No|Num)?|Sy\.?[\s\-_/]*No\.?|ಸರ್ವೆ[\s\-_/]*(?:ನಂ|ನಂಬರ್)?|ಸವee[\s\-_/]*ಸoui"
 LOCALITIES = {
     "ಜಯನಗರ": "Jayanagar",
     "ಕೋರಮಂಗಲ": "Koramangala",
@@ -40,6 +40,7 @@ LOCALITIES = {
     "ಮಹಾದೇವಪುರ": "Mahadevapura",
 }
 TALUKS = {
+    "ಜಯನಗರಿಉಪಏಭಾಗ": "Jayanagar Sub-division",
     "ಜಯನಗರ ಉಪವಿಭಾಗ": "Jayanagar Sub-division",
     "ಜಯನಗರ ಉಪ-ವಿಭಾಗ": "Jayanagar Sub-division",
     "ಕೋರಮಂಗಲ ಉಪವಿಭಾಗ": "Koramangala Sub-division",
@@ -158,7 +159,7 @@ def district(x: Column | str) -> Column:
 
 
 def parcel_id(x: Column | str) -> Column:
-    """Label gone, ASCII digits, hyphens as slashes; a single letter after the number goes, a longer one stays."""
+    """Label gone, ASCII digits, hyphens as slashes; a bare slash and letter after the number go, any other rest stays."""
     text = strip(indic_digits(F.regexp_replace(strip(x), rf"(?iu)^(?:{PARCEL_LABELS})[\s:.\-_|I]*", "")))
     ward = F.upper(text).contains("W.NO") | F.upper(text).contains("WARD")
     from_digit = F.regexp_replace(text, "^[^0-9]+(?=[0-9])", "")
@@ -168,17 +169,12 @@ def parcel_id(x: Column | str) -> Column:
     out = (
         F.when(ward, collapse(text))
         .when(~text.rlike("[0-9]"), text)
-        .when((rest != "") & ~rest.rlike("^[/-][A-Za-z]$"), _tail(slashes(from_digit)))
+        .when((rest != "") & ~rest.rlike("^[/-][A-Za-z]$"), slashes(from_digit))
         .otherwise(F.regexp_replace(core, r"\s*[/-]\s*", "/"))
     )
     return F.coalesce(out, F.lit(""))
 
 
-def _tail(x: Column) -> Column:
-    """A single letter after a number whose slash had blanks around it counts as a bare suffix as well."""
-    return F.regexp_replace(x, r"^([0-9]+(?:/[0-9]+)+)/[A-Za-z]$", "$1")
-
-
 def after_anchor(line: Column | str, anchor: Column | str, others: list[str]) -> Column:
     """X11: what stands after the anchor (any case) up to the first other anchor."""
     line, anchor = _c(line), _c(anchor)

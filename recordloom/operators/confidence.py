@@ -232,7 +232,34 @@ def mean_if_all(value: str) -> Column:
     return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
 
 
-def features(ocr, pattern, errors, warnings, cross_passed, gis_verified, gis_mismatch, length, page) -> Column:
-    """The nine numbers that a learned calibrator reads."""
+def features(ocr, method, errors, warnings, cross_passed, parcel_verified, parcel_mismatch, conflict) -> Column:
+    """The nine numbers that a learned calibrator reads.
+
+    Recognition confidence, strength of the pattern (0.95 for regex, else 0.85), whether regex and whether table lookup,
+    numbers of errors and warnings, cross-record check passed, parcel verified (0.5: undecided), conflict.
+    """
     flag = lambda c: F.coalesce(_c(c).cast("double"), F.lit(0.0))
-    return F.array(unit(_c(ocr)), _c(pattern).cast("double"), flag(errors), flag(warnings), flag(cross_passed), flag(gis_verified), flag(gis_mismatch), F.least(F.lit(1.0), _c(length) / 50.0), flag(page))
+    regex = F.lower(_c(method)).eqNullSafe(F.lit("regex"))
+    parcel = F.when(flag(parcel_verified) > 0, 1.0).when(flag(parcel_mismatch) > 0, 0.0).otherwise(0.5)
+    return F.array(flag(ocr), F.when(regex, 0.95).otherwise(0.85), regex.cast("double"), F.lower(_c(method)).eqNullSafe(F.lit("table_lookup")).cast("double"), flag(errors), flag(warnings), flag(cross_passed), parcel, flag(conflict))
+
+
+def fit_correctness(rows: DataFrame, vector: str = "features", label: str = "label"):
+    """A logistic regression of correctness on features(), with the ridge penalty 1 of the usual default, fitted by Spark."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    data = rows.select(array_to_vector(F.col(vector)).alias("features"), F.col(label).cast("double").alias("label"))
+    n = data.count()
+    return LogisticRegression(regParam=1.0 / max(1, n), standardization=False, maxIter=500).fit(data)
+
+
+def correctness(vector: Column | str, model) -> Column:
+    """The model's probability of correctness, from 0 to 1, four places."""
+    z = F.aggregate(F.zip_with(_c(vector), F.array(*[F.lit(float(w)) for w in model.coefficients]), lambda x, w: x * w), F.lit(float(model.intercept)), lambda a, x: a + x)
+    return F.round(1 / (1 + F.exp(-z)), 4)
+
+
+def blended(learned: Column | str, weighted: Column | str) -> Column:
+    """60 percent learned and 40 percent rule score where a learned one exists, four places."""
+    return F.coalesce(F.round(0.60 * _c(learned) + 0.40 * _c(weighted), 4), _c(weighted))

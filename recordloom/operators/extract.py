@@ -14,8 +14,8 @@ from recordloom.functions.text import _c, has_content, inline_value, strip, toke
 BELOW_PX, RIGHT_PX, ROW_PX, COLUMN_PX = 120.0, 200.0, 12.0, 30.0
 # Keyword lists of document types.
 KEYWORDS = {
-    "rtc": ("ಪಹಣಿ", "pahani", "ಭೂಮಿ", "bhoomi", "rtc", "ಹಕ್ಕು ದಾಖಲೆ", "ಖಾತೆದಾರರ ವಿವರ", "ಸರ್ವೆ ನಂ", "ಸರ್ವೇ ನಂ", "survey no", "ಕಂದಾಯ", "ಹಿಸ್ಸಾ", "ಆರ್ ಟಿ ಸಿ", "ಹಿಡುವಳಿ", "ಸರ್ವೆ", "ಸರ್ವೇ", "ವಿಸ್ತೀರ್ಣ", "ಸರ್ವೆ ಸಂಖ್ಯೆ", "ಸರ್ವೇ ಸಂಖ್ಯೆ", "survey number"),
-    "khata": ("ಖಾತಾ ಪ್ರಮಾಣ", "ಖಾತಾ ದೃಢೀಕರಣ", "khata certificate", "khata extract", "ಖಾತೆ", "ದೃಢೀಕರಣ ಪತ್ರ", "ಬೃಹತ್ ಬೆಂಗಳೂರು", "bbmp", "bruhat bangalore", "ಆಸ್ತಿ ಸಂಖ್ಯೆ", "ಸ್ವತ್ತಿನ ಸಂಖ್ಯೆ", "ನಿವೇಶನದ ವಿಸ್ತೀರ್ಣ", "ಕಟ್ಟಡದ ವಿಸ್ತೀರ್ಣ", "pid", "ಅಸೆಸ್ಮೆಂಟ್", "ಸಹಾಯಕ ಕಂದಾಯ ಅಧಿಕಾರಿ", "assistant revenue officer", "ಖಾತಾ"),
+    "rtc": ("ಪಹಣಿ", "pahani", "ಭೂಮಿ", "rtc", "ಹಕ್ಕು ದಾಖಲೆ", "ಖಾತೆದಾರರ ವಿವರ", "ಸರ್ವೆ ನಂ", "ಸರ್ವೇ ನಂ", "survey no", "ಕಂದಾಯ", "ಹಿಸ್ಸಾ", "ಆರ್ ಟಿ ಸಿ", "ಹಿಡುವಳಿ", "ಸರ್ವೆ", "ಸರ್ವೇ", "ವಿಸ್ತೀರ್ಣ", "ಸರ್ವೆ ಸಂಖ್ಯೆ", "ಸರ್ವೇ ಸಂಖ್ಯೆ", "survey number"),
+    "khata": ("ಖಾತಾ ಪ್ರಮಾಣ", "ಖಾತಾ ದೃಢೀಕರಣ", "khata certificate", "khata extract", "ಖಾತೆ", "ದೃಢೀಕರಣ ಪತ್ರ", "ಬೃಹತ್ ಬೆಂಗಳೂರು", "bbmp", "bruhat bangalore", "ಆಸ್ತಿ ಸಂಖ್ಯೆ", "ಸ್ವತ್ತಿನ ಸಂಖ್ಯೆ", "ನಿವೇಶನದ ವಿಸ್ತೀರ್ಣ", "ಕಟ್ಟಡದ ವಿಸ್ತೀರ್ಣ", "pid", "ಅಸೆಸ್ಮೆಂಟ್", "ಸಹಾಯಕ ಕಂದಾಯ ಅಧಿಕಾರಿ", "assistant revenue officer", "ಬಾತಾದಾಖಲೆ", "ಖಾತಾ"),
     "mutation": ("ಮ್ಯುಟೇಶನ್", "mutation", "ನಮೂನೆ ೧೨", "ನಮೂನೆ 12", "ಜಂಟಿ ಹಕ್ಕು", "ವಾರಸುದಾರರು", "ಹಕ್ಕು ಬದಲಾವಣೆ", "mutation register", "ಹಿಸ್ಸಾ ನಂ"),
     "other": ("ಕ್ರಯಪತ್ರ", "sale deed", "ದಾನಪತ್ರ", "gift deed", "ಭಾಗಪತ್ರ", "partition deed", "ನೋಂದಣಿ ಇಲಾಖೆ", "sub-registrar", "encumbrance certificate", "ಋಣಭಾರ ಪ್ರಮಾಣ", "tahsildar", "ತಹಶೀಲ್ದಾರ್", "order", "ಆದೇಶ", "ಸ್ವಾಧೀನ ಪತ್ರ"),
     "general": ("ಸರ್ವೆ ನಂಬರ್", "ಸರ್ವೇ ನಂಬರ್", "survey number", "khasra", "khatauni", "patta", "chitta", "satbara", "7/12", "jamabandi", "ವಿಸ್ತೀರ್ಣ", "extent", "ಚದರ ಅಡಿ", "sq ft", "sq. ft.", "acres", "guntas", "ಗುಂಟೆ", "village", "ಗ್ರಾಮ", "taluk", "ತಾಲೂಕು", "hobli", "ಹೋಬಳಿ", "district", "ಜಿಲ್ಲೆ", "land", "plot", "site", "revenue department", "ಕಂದಾಯ ಇಲಾಖೆ", "ಕಂದಾಯ"),
@@ -23,7 +23,7 @@ KEYWORDS = {
 }
 # Words and scripts that name a state, in the order in which they count.
 STATES = (
-    ("KA", r"ಕರ್ನಾಟಕ|karnataka|ಭೂಮಿ|bhoomi|ಪಹಣಿ|pahani|ಸರ್ವೆ ನಂ|ಖಾತೆದಾರ|ಬೆಂಗಳೂರು|bangalore|bengaluru|bbmp|mahanagara palike|khatha|ಪ್ರಮಾಣ ಪತ್ರ|mutation|rule 46|ಮ್ಯುಟೇಶನ್"),
+    ("KA", r"ಕರ್ನಾಟಕ|karnataka|ಭೂಮಿ|ಪಹಣಿ|pahani|ಸರ್ವೆ ನಂ|ಖಾತೆದಾರ|ಬೆಂಗಳೂರು|bangalore|bengaluru|bbmp|mahanagara palike|khatha|ಪ್ರಮಾಣ ಪತ್ರ|mutation|rule 46|ಮ್ಯುಟೇಶನ್"),
     ("KA", r"[ಀ-೿]"),
     ("TN", r"[஀-௿]"),
     ("TN", "தமிழ்நாடு|tamil nadu|tamilnadu|பட்டா|patta|சிட்டா|chitta|புல எண்"),
@@ -36,20 +36,24 @@ STATES = (
 
 def hits(text: Column, words) -> Column:
     """Number of the words that the text holds."""
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)))
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(text, w)))
 
 
-def document_type(text: Column | str, keywords: dict = KEYWORDS) -> Column:
-    """struct(type, confidence) by keyword counts and an ordered list of decisions."""
+def document_type(text: Column | str, keywords: dict = KEYWORDS, portals: tuple[str, ...] = (), rtc_type: str = "rtc") -> Column:
+    """struct(type, confidence) by keyword counts and an ordered list of decisions.
+
+    portals: names of the record portal (lower case) in the caller's configuration; each is one more word of the rtc list,
+    and one of them beside "rtc" or its Kannada name is enough. rtc_type: what the caller calls that type.
+    """
     low = F.lower(F.coalesce(_c(text), F.lit("")))
-    n = {k: hits(low, w) for k, w in keywords.items()}
+    n = {k: hits(low, (*w, *portals) if k == "rtc" else w) for k, w in keywords.items()}
     land = n["rtc"] + n["khata"] + n["mutation"] + n["other"] + n["general"]
     # fixed values: the types' names as stored, and their confidences
     say = lambda t, c: F.struct(F.lit(t).alias("type"), F.lit(c).alias("confidence"))
     has = lambda w: F.contains(low, F.lit(w))
     return (
         F.when((land == 0) | ((n["not_land"] >= 2) & (land <= 1)), say("not_land_record", 0.95))
-        .when((n["rtc"] >= 2) | (has("bhoomi") & (has("rtc") | has("ಪಹಣಿ"))), say("bhoomi_rtc", 0.95))
+        .when((n["rtc"] >= 2) | ((hits(low, portals) > 0) & (has("rtc") | has("ಪಹಣಿ"))), say(rtc_type, 0.95))
         .when((n["khata"] >= 2) | (has("bbmp") & has("ಖಾತಾ")) | has("khata certificate"), say("khata_certificate", 0.95))
         .when((n["mutation"] >= 2) | has("mutation register"), say("mutation_register", 0.92))
         .when((n["other"] >= 2) | has("sale deed") | has("sub-registrar"), say("other_gov_property", 0.90))
@@ -58,11 +62,13 @@ def document_type(text: Column | str, keywords: dict = KEYWORDS) -> Column:
     )
 
 
-def state_of(text: Column | str) -> Column:
-    """F16: the first state whose words or script the text has."""
+def state_of(text: Column | str, further: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """F16: the first state whose words or script the text has; further: the caller's own words (lower case) of a state, before all others."""
     low = F.lower(F.coalesce(_c(text), F.lit("")))
-    out = F.when(low.rlike(STATES[0][1]), STATES[0][0])
-    for state, pattern in STATES[1:]:
+    own = [(state, "|".join(re.escape(w) for w in words)) for state, words in (further or {}).items()]
+    rules = [*own, *STATES]
+    out = F.when(low.rlike(rules[0][1]), rules[0][0])
+    for state, pattern in rules[1:]:
         out = out.when(low.rlike(pattern), state)
     return out.otherwise("DEFAULT")
 

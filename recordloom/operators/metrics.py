@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import _c, cer, normalized_distance, tokens, wer, word_distance
+from recordloom.functions.text import _c, cer, manifest_text, normalized_distance, tokens, wer, word_distance
 
 
 def error_rates(rows: DataFrame, reference: str, hypothesis: str, group: str) -> DataFrame:
@@ -23,7 +23,7 @@ def error_rates(rows: DataFrame, reference: str, hypothesis: str, group: str) ->
 def subset_summary(rows: DataFrame, reference: str, hypothesis: str, subset: str) -> DataFrame:
     """Macro rates, exact, empty and Latin counts, distinct predictions, and the most frequent one (ties: the first by text)."""
     counts = rows.groupBy(subset, F.col(hypothesis).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    mode = counts.groupBy(subset).agg(F.max_by(F.struct("_p", "_n"), F.struct("_n", F.expr("-hash(_p)"))).alias("m"))
+    mode = counts.groupBy(subset).agg(F.min_by(F.struct("_p", "_n"), F.struct((-F.col("_n")).alias("n"), "_p")).alias("m"))
     out = rows.groupBy(subset).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(cer(reference, hypothesis)).alias("mean_cer"),
@@ -134,6 +134,39 @@ def rescored(rows: DataFrame, key: str, margin: float = 0.04) -> DataFrame:
     return rows.withColumns({"rank": F.row_number().over(o), "softmax": e / F.sum(e).over(w), "lead": F.col("score") - F.lead("score").over(o)}).withColumn("needs_review", F.coalesce(F.col("lead") < margin, F.lit(False)))
 
 
+def orthographic_score(text: Column | str) -> Column:
+    """1 less a share for each illegal sequence of Kannada signs, at least 0; 0 for an empty text and 0.5 for one without Kannada letters."""
+    t = F.coalesce(_c(text), F.lit(""))
+    less = lambda pattern, share: F.when(t.rlike(pattern), share).otherwise(0.0)
+    # fixed values: a sign or virama at the start, two signs in a row, a sign after a virama, two viramas
+    lost = less("^[ಾ-ೄೆ-ೈೊ-್]", 0.5) + less("[ಾ-ೌ]{2}", 0.4) + less("್[ಾ-ೌ]", 0.4) + less("್್", 0.5)
+    return F.when(t == "", 0.0).when(~t.rlike("[ಀ-೿]"), 0.5).otherwise(F.greatest(F.lit(0.0), F.round(1.0 - lost, 4)))
+
+
+def rescored_best(rows: DataFrame, lexicon: DataFrame, key: str, entry: str = "entry", weights: tuple[float, float, float] = (0.50, 0.35, 0.15), margin: float = 0.08) -> DataFrame:
+    """Candidates (candidate_no, text, score) of each key weighed by model, lexicon and orthography; one row for each key.
+
+    The first candidate stays unless the best one leads by margin, or has an entry of the lexicon (0.95 or more) and sound
+    orthography (0.90 or more) and any lead. needs_review: a composite below 0.65, or a lead of the best below 0.04.
+    """
+    model, words, signs = weights
+    o = Window.partitionBy(key)
+    e = F.exp(F.col("score") - F.max("score").over(o))
+    own = rows.select(key, "candidate_no", manifest_text("text").alias("text"), "score").withColumn("p", e / F.sum(e).over(o))
+    known = lexicon_matches(own.where("text != ''").select(F.col("text").alias("word")), lexicon, entry=entry).select(F.col("word").alias("text"), "similarity")
+    full = own.join(known, "text", "left").withColumns({"similarity": F.round(F.coalesce("similarity", F.lit(0.0)), 4), "signs": orthographic_score("text")})
+    full = full.withColumn("composite", F.round(model * F.col("p") + words * F.coalesce("similarity", F.lit(0.0)) + signs * F.col("signs"), 4))
+    row = F.struct("candidate_no", "text", "similarity", "signs", "composite")
+    by = full.groupBy(key).agg(F.min_by(row, "candidate_no").alias("first"), F.sort_array(F.collect_list(F.struct((-F.col("composite")).alias("c"), "candidate_no", row.alias("r")))).alias("all"))
+    best, second = F.col("all")[0]["r"], F.get("all", F.lit(1))["r"]
+    lead = best["composite"] - F.col("first.composite")
+    strong = (best["similarity"] >= 0.95) & (lead > 0) & (best["signs"] >= 0.90)
+    switched = (best["candidate_no"] != F.col("first.candidate_no")) & ((F.round(lead, 4) >= margin) | strong)
+    final = F.when(switched, best).otherwise(F.col("first"))
+    close = F.coalesce(F.round(best["composite"] - second["composite"], 4) < 0.04, F.lit(False))
+    return by.select(key, final["text"].alias("text"), final["composite"].alias("confidence"), switched.alias("is_switched"), ((final["composite"] < 0.65) | close).alias("needs_review"))
+
+
 def lexicon_matches(words: DataFrame, lexicon: DataFrame, word: str = "word", entry: str = "entry", least: float = 0.70, around: int = 2) -> DataFrame:
     """Each word's most similar entry within around letters of its length; lengths are the equi key. Ties: the smaller entry."""
     a = words.select(word).distinct().withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.length(word) - around), F.length(word) + around)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.functions.text import strip
+
 
 def like(x: Column | str, q: str) -> Column:
     """q anywhere in x, any case; % and _ in q are wild cards."""
@@ -64,3 +66,31 @@ def with_aliases(fields: Column, aliases: dict[str, str]) -> Column:
     """A map with an alias for each field that has one and lacks the alias."""
     extra = F.map_filter(F.create_map(*[x for a, c in aliases.items() for x in (F.lit(a), F.try_element_at(fields, F.lit(c)))]), lambda k, v: v.isNotNull() & ~F.map_contains_key(fields, k))
     return F.map_concat(fields, extra)
+
+
+# The names of fields in the main schema, and names of other states with the field and the tradition they stand for.
+MAIN_FIELDS = (
+    "document_type", "district", "taluk", "hobli", "village", "survey_number", "hissa_number", "khata_number", "owner_name", "cultivator_name", "extent", "land_type",
+    "assessment", "mutation_number", "registration_number", "record_date", "remarks",
+)
+REGIONAL_NAMES = {
+    "Maharashtra": {
+        "survey_number": ("gat_number", "gat_no", "gat"), "hissa_number": ("pot_hissa", "pothissa"), "owner_name": ("khatedar", "khatedar_name", "bhogwathdar", "occupant", "occupant_khatedar"),
+        "extent": ("kshetra", "area_hec"), "assessment": ("aakar", "assessment_rs"), "taluk": ("taluka",), "district": ("jilha",), "village": ("gav",), "mutation_number": ("ferfar_number", "ferfar_no"),
+    },
+    "Tamil Nadu": {
+        "khata_number": ("patta_number", "patta_no", "patta"), "survey_number": ("pula_en", "pula_number"), "hissa_number": ("sub_division", "utpirivu"), "owner_name": ("pattadharar", "pattadar_name"),
+        "extent": ("parappalavu",), "taluk": ("vattam",), "district": ("maavattam",), "village": ("kiramam",),
+    },
+    "North India": {
+        "survey_number": ("khasra_number", "khasra_no", "khasra"), "khata_number": ("khatauni_number", "khatauni_no", "khatauni"), "owner_name": ("bhumidhar",), "cultivator_name": ("kastakar",),
+        "taluk": ("tehsil",), "village": ("mauza",), "extent": ("rakba",), "assessment": ("lagan",), "mutation_number": ("dakhil_kharij",),
+    },
+}
+
+
+def canonical_field(name: Column | str, main: tuple[str, ...] = MAIN_FIELDS, regional: dict = REGIONAL_NAMES) -> Column:
+    """struct(field, region): the main schema's name of a field, and the tradition its own name comes from (null: none)."""
+    clean = F.replace(F.lower(strip(name)), F.lit(" "), F.lit("_"))
+    pairs = [F.struct(F.lit(alias), F.struct(F.lit(field).alias("field"), F.lit(region).alias("region"))) for region, fields in regional.items() for field, own in fields.items() for alias in own if alias not in main]
+    return F.coalesce(F.try_element_at(F.map_from_entries(F.array(*pairs)), clean), F.struct(clean.alias("field"), F.lit(None).cast("string").alias("region")))

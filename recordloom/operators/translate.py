@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.functions.text import _c, collapse, fold_replace, script_is_kannada, strip
+from recordloom.functions.text import _c, collapse, fold_replace, nfc, script_is_kannada, strip, tokens
 
 #: Passes in order; what an earlier one has taken is out of reach for the later ones.
 _VERBATIM = (
@@ -80,36 +80,36 @@ def gate(confidence: Column | str) -> Column:
     return F.when(c.isNull() | (c < 0.60), "BLOCKED").when(c < 0.85, "FLAGGED").otherwise("COMPLETED")
 
 
-# Latin letters for Kannada consonants, vowels and vowel signs.
-CONSONANTS = dict(zip("ಕಖಗಘಙಚಛಜಝಞಟಠಡಢಣತಥದಧನಪಫಬಭಮಯರಲವಶಷಸಹಳ", "k kh g gh ng ch chh j jh ny t th d dh n t th d dh n p ph b bh m y r l v sh sh s h l".split(), strict=True))
-VOWELS = dict(zip("ಅಆಇಈಉಊಋಎಏಐಒಓಔ", "a aa i ii u uu ri e e ai o o au".split(), strict=True))
-SIGNS = dict(zip("ಾಿೀುೂೃೆೇೈೊೋೌ", "aa i ii u uu ri e e ai o o au".split(), strict=True))
-_VIRAMA = "್"
+# Latin letters for Kannada consonants, vowels and signs, two short words, and fields that are never translated.
+CONSONANTS = {
+    "ಕ": "k", "ಖ": "kh", "ಗ": "g", "ಘ": "gh", "ಙ": "ng",
+    "ಚ": "ch", "ಛ": "chh", "ಜ": "j", "ಝ": "jh", "ಞ": "ny",
+    "ಟ": "t", "ಠ": "th", "ಡ": "d", "ಢ": "dh", "ಣ": "n",
+    "ತ": "t", "ಥ": "th", "ದ": "d", "ಧ": "dh", "ನ": "n",
+    "ಪ": "p", "ಫ": "ph", "ಬ": "b", "ಭ": "bh", "ಮ": "m",
+    "ಯ": "y", "ರ": "r", "ಱ": "r", "ಲ": "l", "ವ": "v",
+    "ಶ": "sh", "ಷ": "sh", "ಸ": "s", "ಹ": "h", "ಳ": "l",
+}
+VOWELS = {"ಅ": "a", "ಆ": "aa", "ಇ": "i", "ಈ": "ee", "ಉ": "u", "ಊ": "oo", "ಋ": "ru", "ಎ": "e", "ಏ": "e", "ಐ": "ai", "ಒ": "o", "ಓ": "o", "ಔ": "au"}
+SIGNS = {"ಾ": "a", "ಿ": "i", "ೀ": "ee", "ು": "u", "ೂ": "oo", "ೃ": "ru", "ೆ": "e", "ೇ": "e", "ೈ": "ai", "ೊ": "o", "ೋ": "o", "ೌ": "au", "ಂ": "m", "ಃ": "h", "್": ""}
+SHORT_WORDS = {"ಬಿನ್": "Bin", "ಬಿನ್:": "Bin", "ಕೋಂ": "Kom", "ಕೋಂ:": "Kom"}
+NOT_TRANSLATED = (
+    "survey_number", "hissa_number", "khata_number", "property_number", "mutation_number", "registration_number", "date", "document_date", "record_date", "total_extent",
+    "cultivable_area", "pot_kharab", "site_area", "built_up_area", "land_revenue", "khasra_number", "khatauni_number", "patta_number", "gat_number",
+)
 
 
 def transliterate_word(word: str, known: dict[str, str] | None = None) -> str:
-    """A word of the dictionary, else letter by letter; a consonant without sign or virama carries an a."""
-    if known and word in known:
-        return known[word]
-    out, open_ = [], False
-    for ch in word:
-        if open_ and ch not in SIGNS and ch != _VIRAMA:
-            out.append("a")
-        if ch in CONSONANTS:
-            out.append(CONSONANTS[ch])
-        elif ch in SIGNS:
-            out.append(SIGNS[ch])
-        elif ch in VOWELS:
-            out.append(VOWELS[ch])
-        elif ch == "ಂ":
-            out.append("m")
-        elif ch == "ಃ":
-            out.append("h")
-        elif ch != _VIRAMA:
-            out.append(ch)
-        open_ = ch in CONSONANTS
-    text = "".join(out) + ("a" if open_ else "")
-    return text[:1].upper() + text[1:]
+    """A word of the dictionary, else letter by letter.
+
+    A consonant carries an a only before another letter than a sign; at the end of the word it carries none.
+    """
+    said = {**SHORT_WORDS, **(known or {})}.get(word)
+    if said is not None:
+        return said
+    latin = {**CONSONANTS, **VOWELS, **SIGNS}
+    out = [latin.get(c, c) + ("a" if c in CONSONANTS and after and after not in SIGNS else "") for c, after in zip(word, [*word[1:], ""], strict=True)]
+    return "".join(out).capitalize()
 
 
 def transliterate(x: Column | str, known: dict[str, str] | None = None) -> Column:
@@ -120,17 +120,32 @@ def transliterate(x: Column | str, known: dict[str, str] | None = None) -> Colum
     return run(_c(x))
 
 
-def translate_field(value: Column | str, confidence: Column | str, glossary: dict[str, str], keep: Column | None = None) -> Column:
-    """struct(english, status, engine): empty, low confidence, identifier, already Latin, glossary, or transliterated."""
-    v = strip(value)
-    said = F.try_element_at(F.create_map(*[F.lit(x) for kv in (glossary or {"": ""}).items() for x in kv]), v)
+def _said(v: Column, words: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in (words or {"": ""}).items() for x in kv]), v)
+
+
+def translate_field(name: Column | str, value: Column | str, names: dict[str, str], places: dict[str, str], terms: dict[str, str]) -> Column:
+    """struct(english, status, engine) of a field's value, by the first rule that holds:
+
+    fields of NOT_TRANSLATED, empty values, values without Kannada letters, whole entries of names, places and terms,
+    entries of places and terms within the value (longest first) if they leave no Kannada letter, transliteration.
+    """
+    v = F.coalesce(strip(value), F.lit(""))
+    clean = strip(nfc(v))
+    whole = F.coalesce(_said(clean, names), _said(clean, places), _said(clean, terms))
+    parts = clean
+    for words in (places, terms):
+        for k in sorted(words, key=lambda w: -len(w)):
+            parts = F.replace(parts, F.lit(k), F.lit(words[k]))
+    titled = F.array_join(F.transform(tokens(parts), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
+    latin = transliterate(clean, {**places, **SHORT_WORDS, **names})
     s = lambda e, status, engine: F.struct((e if isinstance(e, Column) else F.lit(e).cast("string")).alias("english"), F.lit(status).alias("status"), F.lit(engine).alias("engine"))
-    verbatim = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(False)
     return (
-        F.when(v.isNull() | (v == ""), s(None, "EMPTY", "none"))
-        .when(_c(confidence) < 0.60, s(None, "BLOCKED_LOW_CONFIDENCE", "none"))
-        .when(verbatim | v.rlike(r"^[\d\s/.,:\-]+$"), s(v, "VERBATIM", "none"))
-        .when(~script_is_kannada(v), s(v, "ALREADY_LATIN", "none"))
-        .when(said.isNotNull(), s(said, "TRANSLATED", "glossary"))
-        .otherwise(s(transliterate(v), "TRANSLITERATED", "rules"))
+        F.when(F.lower(strip(name)).isin(*NOT_TRANSLATED), s(None, "NOT_APPLICABLE", "passthrough"))
+        .when(v == "", s(None, "UNAVAILABLE", "unavailable"))
+        .when(~script_is_kannada(v), s(v, "ALREADY_ENGLISH", "passthrough"))
+        .when(whole.isNotNull(), s(whole, "TRANSLATED", "domain_glossary"))
+        .when(~script_is_kannada(parts), s(titled, "TRANSLATED", "domain_glossary"))
+        .when(~script_is_kannada(latin) & (latin != ""), s(latin, "TRANSLATED", "phonetic"))
+        .otherwise(s(None, "FAILED", "unavailable"))
     )

@@ -18,7 +18,9 @@ def one(spark, column, value=None, kind="string"):
         (text.parcel_id, "  142-2  ", "142/2"),
         (text.parcel_id, "No. 89/1/A", "89/1"),
         (text.parcel_id, "708/417/F-104", "708/417/F-104"),
+        (text.parcel_id, "708 / 417 / A", "708/417/A"),
         (text.parcel_id, "W.NO. 84", "W.NO. 84"),
+        (text.taluk, "Taluk: ಜಯನಗರಿಉಪಏಭಾಗ", "Jayanagar Sub-division"),
         (text.parcel_id, "none", "none"),
         (text.locality, "Village: ಜಯನಗರ", "Jayanagar"),
         (text.district, "District - ಬೆಂಗಳೂರು", "Bengaluru"),

@@ -153,7 +153,10 @@ def test_extraction(spark):
     r = spark.createDataFrame([("d", "a", "x ", 0.8), ("d", "b", "W", 0.88), ("d", "e", "V", 0.7)], "document_id string, field_name string, raw_value string, confidence double")
     got = {x.field_name: (x.raw_value.strip(), x.channel, round(x.confidence, 2)) for x in extract.reconcile(s, r).collect()}
     assert got == {"a": ("x", "consensus", 0.95), "b": ("Y", "semantic", 0.85), "c": ("Z", "semantic", 0.5), "e": ("V", "regex", 0.7)}
-    assert one(spark, extract.document_type(F.lit("Bhoomi RTC extract")))["type"] == "bhoomi_rtc"
+    assert one(spark, extract.document_type(F.lit("Portal RTC extract"), portals=("portal",), rtc_type="portal_rtc"))["type"] == "portal_rtc"
+    assert one(spark, extract.document_type(F.lit("RTC of the survey no. 5")))["type"] == "rtc"
+    assert one(spark, extract.document_type(F.lit("ಬಾತಾದಾಖಲೆ ಖಾತಾ")))["type"] == "khata_certificate"
+    assert one(spark, extract.state_of(F.lit("Portal extract"), {"KA": ("portal",)})) == "KA" 
     assert one(spark, extract.document_type(F.lit("cash receipt, cashier")))["type"] == "not_land_record"
     assert one(spark, extract.state_of(F.lit("ಅ"))) == "KA" and one(spark, extract.state_of(F.lit("Bihar"))) == "BR" and one(spark, extract.state_of(F.lit(None).cast("string"))) == "DEFAULT"
     best = one(spark, extract.rule_scores(F.lit("sale deed of land"), [{"type": "a", "mandatory": ["sale deed"], "optional": ["land"]}, {"type": "b", "mandatory": ["rtc"]}]))
@@ -245,9 +248,20 @@ def test_translation(spark):
     df = spark.createDataFrame([("Plot 12/3 dated 15/08/2023 cost Rs. 500",), (None,)], "t string").select("t", translate.protect("t").alias("p"))
     rows = df.select("t", "p", translate.restore("p.text", "p.parts").alias("back")).collect()
     assert rows[0].back == rows[0].t and "15/08/2023" not in rows[0].p.text and rows[1].back is None
-    assert translate.transliterate_word("ರಾಮ") == "Raama" and translate.transliterate_word("ಕ್ಷ") == "Ksha"
-    f = lambda v, c: one(spark, translate.translate_field(F.lit(v), F.lit(c), {"ಗ್ರಾಮ": "Village"}))
-    assert [f(*x)["status"] for x in (("", 0.9), ("ರಾಮ", 0.1), ("12/3", 0.9), ("Anil", 0.9), ("ಗ್ರಾಮ", 0.9), ("ರಾಮ", 0.9))] == ["EMPTY", "BLOCKED_LOW_CONFIDENCE", "VERBATIM", "ALREADY_LATIN", "TRANSLATED", "TRANSLITERATED"]
+    words = {"ರಾಮ": "Ram", "ಕ್ಷ": "Ksh", "ಕೂದಲು": "Koodalu", "ಗೀತಾ": "Geeta", "ಬಿನ್": "Bin", "ಕೋಂ": "Kom", "ಅಂಬಾ": "Amba", "ಕಮಲ": "Kamal"}
+    assert {w: translate.transliterate_word(w) for w in words} == words
+    cases = [
+        ("survey_number", "ರಾಮ", None, "NOT_APPLICABLE", "passthrough"),
+        ("village", "  ", None, "UNAVAILABLE", "unavailable"),
+        ("village", "Anil 12", "Anil 12", "ALREADY_ENGLISH", "passthrough"),
+        ("village", "ಗ್ರಾಮ", "Village", "TRANSLATED", "domain_glossary"),
+        ("village", "ಬೆಂಗಳೂರು ಉತ್ತರ", "Bengaluru North", "TRANSLATED", "domain_glossary"),
+        ("owner_name", "ರಾಮ ಬಿನ್ ಗೀತಾ", "Ram Bin Geeta", "TRANSLATED", "phonetic"),
+        ("owner_name", "೧೨", None, "FAILED", "unavailable"),
+    ]
+    df = spark.createDataFrame([(c[0], c[1]) for c in cases], "n string, v string")
+    got = df.select(translate.translate_field("n", "v", {}, {"ಬೆಂಗಳೂರು": "bengaluru"}, {"ಗ್ರಾಮ": "Village", "ಉತ್ತರ": "North"}).alias("r")).collect()
+    assert [(r.r.english, r.r.status, r.r.engine) for r in got] == [c[2:] for c in cases]
     assert one(spark, translate.polish(F.lit("the the  land , is"))) == "The land, is"
     assert one(spark, translate.repair(F.lit("a  b ,c\nnoise here"), {"b": "B"}, ("noise",))) == "a B, c"
     assert one(spark, translate.purity(F.lit("ಅ ab"), F.lit("x ಅ")))["pure"] is False
@@ -281,3 +295,38 @@ def test_tfidf_query_gives_matches(spark):
     got = catalog.queries()["tfidf_lengths"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.doc_id, r.match_id) for r in got} >= {(0, 61), (120, 2)}
     assert all(r.doc_id % 20 == 0 and r.match_id != r.doc_id and 0.85 <= r.similarity <= 1 for r in got)
+
+
+def test_mode_ties_go_to_the_first_text(spark):
+    rows = spark.createDataFrame([("a", "x", "k"), ("a", "x", "b"), ("a", "x", "k"), ("a", "x", "b"), ("a", "x", "z")], "s string, r string, h string")
+    assert [(r.mode_text, r.mode_count, r.n_distinct) for r in metrics.subset_summary(rows, "r", "h", "s").collect()] == [("b", 2, 3)]
+
+
+def test_learned_confidence(spark):
+    f = one(spark, confidence.features(F.lit(0.9), F.lit("REGEX"), F.lit(1), F.lit(2), F.lit(True), F.lit(False), F.lit(False), F.lit(True)))
+    assert f == [0.9, 0.95, 1.0, 0.0, 1.0, 2.0, 1.0, 0.5, 1.0]
+    assert one(spark, confidence.features(F.lit(0.5), F.lit("table_lookup"), F.lit(0), F.lit(0), F.lit(None).cast("boolean"), F.lit(False), F.lit(True), F.lit(False))) == [0.5, 0.85, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    rows = spark.createDataFrame([([i / 40, 0.85, 0.0, 0.0, float(i % 3 == 0), 0.0, 1.0, 1.0, 0.0], int(i > 20)) for i in range(40)], "features array<double>, label int")
+    model = confidence.fit_correctness(rows)
+    p = rows.select("label", confidence.correctness("features", model).alias("p")).groupBy("label").agg(F.avg("p").alias("p")).collect()
+    assert {r.label: r.p > 0.5 for r in p} == {0: False, 1: True}
+    assert one(spark, confidence.blended(F.lit(0.5), F.lit(1.0))) == 0.7 and one(spark, confidence.blended(F.lit(None).cast("double"), F.lit(0.3))) == 0.3
+
+
+def test_regional_names(spark):
+    rows = spark.createDataFrame([("Gat Number",), (" patta_no ",), ("TEHSIL",), ("survey_number",), ("Odd Name",), (None,)], "n string").select(search.canonical_field("n").alias("c")).collect()
+    assert [(r.c.field, r.c.region) for r in rows] == [("survey_number", "Maharashtra"), ("khata_number", "Tamil Nadu"), ("taluk", "North India"), ("survey_number", None), ("odd_name", None), (None, None)]
+
+
+def test_rescoring_by_lexicon_and_signs(spark):
+    score = lambda t: one(spark, metrics.orthographic_score(F.lit(t)))
+    assert [score(t) for t in ("", "abc", "ಕನ್ನಡ", "ಾಕ", "ಕಾಿ", "ಕ್ಾ", "ಕ್್")] == [0.0, 0.5, 1.0, 0.5, 0.6, 0.6, 0.5]
+    rows = spark.createDataFrame(
+        [(1, 1, "ಗ್ರಾಮ", -0.1), (1, 2, "ಗ್ರಾಂ", -3.0), (2, 1, "ತಾಲೂಕ", -0.1), (2, 2, "ತಾಲೂಕು", -0.2), (3, 1, "xyz", -0.5)], "k int, candidate_no int, text string, score double"
+    )
+    lexicon = spark.createDataFrame([("ಗ್ರಾಮ",), ("ತಾಲೂಕು",)], "entry string")
+    got = {r.k: r for r in metrics.rescored_best(rows, lexicon, "k").collect()}
+    assert (got[1].text, got[1].is_switched, got[1].needs_review) == ("ಗ್ರಾಮ", False, False)
+    # 0.5 * softmax + 0.35 * 1.0 + 0.15 against a lexicon similarity of 5/6 and a small lead of the model
+    assert (got[2].text, got[2].is_switched, got[2].needs_review) == ("ತಾಲೂಕು", True, True)
+    assert (got[3].text, got[3].confidence, got[3].needs_review) == ("xyz", 0.575, True)
