@@ -413,4 +413,6 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents as JPEG, read back from the stored bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return media_features(media_column(docs))
+    made = media_features(media_column(docs))
+    first = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return made.select(*first, *[c for c in made.columns if c not in first])
