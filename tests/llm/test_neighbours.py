@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from recordloom.llm import neighbours
 
@@ -19,11 +21,52 @@ def exact(rows, asks, k):
 
 
 def test_probe_order_by_estimated_success():
-    inside = np.array([0.1, 0.8])
-    order = neighbours.probe_order(inside, 9)
-    assert order[0].tolist() == [0, 0] and len(order) == 9 and len({tuple(o) for o in order}) == 9
-    cost = [sum(((x if d < 0 else 1 - x) ** 2) if d else 0 for x, d in zip(inside, o, strict=True)) for o in order]
-    assert cost == sorted(cost)
+    index = neighbours.Index(4, 2, 1.0)
+    place = np.array([[3.1, -2.2], [0.5, 7.9]])
+    names = index.probe_names(place, 9)
+    for row, at in zip(names, place, strict=True):
+        inside = at - np.floor(at)
+        cost = {}
+        for delta in index.deltas:
+            cost[int(index.names(np.floor(at).astype(np.int64) + delta))] = sum(((x if d < 0 else 1 - x) ** 2) if d else 0 for x, d in zip(inside, delta, strict=True))
+        assert len(set(row.tolist())) == 9 and row[0] == index.names(np.floor(at).astype(np.int64))
+        assert [cost[b] for b in row.tolist()] == sorted(cost.values())
+    assert len(neighbours.perturbations(5)) == 243 and len(neighbours.perturbations(12)) <= neighbours.MOST_PROBES
+    assert [neighbours.functions_for(n) for n in (10, 51_282, 10**9)] == [2, 5, 12]
+
+
+def test_far_queries_and_large_values(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(16)
+    near = [(i, (base + 0.01 * rng.standard_normal(16)).tolist()) for i in range(300)]
+    odd = [(1000, (-base).tolist()), (1001, (base * 1e200).tolist()), (1002, (base * 1e-200).tolist()), (1003, (-base * 1e300).tolist())]
+    df = spark.createDataFrame(near + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("rank", F.lit("x"))
+    got = {}
+    for r in neighbours.search(df, df.where("vec_id >= 1000"), 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = exact([(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in near + odd], [i for i, _ in odd], 5)
+    assert set(got) == set(want)
+    for q, best in want.items():
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5]
+        assert np.allclose([s for _, _, s in own], [-s for s, _ in best], atol=1e-12)
+
+
+def test_several_lengths_are_an_error(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)] + [(50, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="lengths"):
+        neighbours.search(df, df, 3)
+
+
+def test_large_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(400)] + [(1000 + i, [1.0, 1.0, 1.0, 1.0 + i * 1e-3]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where("vec_id % 20 = 0"), 4, target=1.0).collect()
+    want = exact(rows, [i for i, _ in rows if i % 20 == 0], 4)
+    hits = sum((r.vec_id in [i for _, i in want[r.query_id]]) for r in got)
+    assert len(got) == 4 * len(want) and hits >= 0.9 * len(got)
 
 
 def test_odd_vectors(spark):
