@@ -1,12 +1,12 @@
 """Token-id shards in Re-Pair grammar compression.
 
-Documents are dealt to shards by ranges of doc_id and sorted within them. A shard is a run of blocks
-of 131,072 ids or a little more, each with a grammar of its own. In each block frequent pairs of
-neighbouring ids are replaced by nonterminals, round after round, until no pair is frequent or the
-symbols of 16 bits (2^14 rules where ids need more) are used up; a block stores its rules, the rules' expansion lengths and the compressed
-sequence, so a range of ids is decoded without the rest.
+Documents are dealt to tasks by ranges of doc_id and sorted within them; each task writes a run of shards. A shard is
+closed at SHARD_IDS ids and has one grammar: frequent pairs of neighbouring ids are replaced by nonterminals, round
+after round, until no pair stands MIN_COUNT times. It stores its rules, the rules' expansion lengths and the compressed
+sequence, so a range of ids is decoded without expanding the rest, and the number of ids before it in its run, so that
+places in the whole corpus need only the totals of the runs.
 
-Blocks are rows of a Parquet table in the shared folder, one binary value a block: Spark's committer
+Shards are rows of a Parquet table in the shared folder, one binary value a shard: Spark's committer
 makes them survive lost executors, and any store that Spark writes to will do.
 
 Defined cases: a null text counts as empty and has only the end id; documents with one id keep a
@@ -29,20 +29,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import partitions, pieces, segments, small_batches, span_hashes, stored, text_bytes
+from recordloom.llm.common import partitions, pieces, segments, span_hashes, stored, text_bytes
 
 END_ID = 2
-#: A block is closed at this many ids; a longer document gets a block of its own.
-BLOCK_IDS = 1 << 17
+#: A shard is closed at this many ids; a longer document gets a shard of its own.
+SHARD_IDS = 1 << 19
 #: Pairs of a round must occur this often; all positions count. Any choice of rules is lossless.
 MIN_COUNT = 6
+#: Bits of the slots in which pairs are counted before they are sorted.
+PAIR_BITS = 20
 #: Places for remembered pieces, and ids that are kept for them.
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 KEPT_IDS = 3_500_000
 #: Text bytes that a worker looks at together: its arrays are some tens of times as large.
 ENCODE_BYTES = 1 << 19
-MAGIC = b"RPG1"
+MAGIC, HEAD = b"RPG2", "<4sBBIIII"
 
 
 class PieceEncoder:
@@ -171,69 +173,103 @@ class PieceEncoder:
         return found, count
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)).astype(np.int64)
+def _often(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where pairs stand that do so MIN_COUNT times or more, each one's rank there (0: the most frequent), and the pairs by rank.
+
+    Positions whose slot stands more seldom need no sort.
+    """
+    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
+    some = np.flatnonzero(np.bincount(slot, minlength=1 << PAIR_BITS)[slot] >= MIN_COUNT)
+    seen, own, count = np.unique(key[some], return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(count >= MIN_COUNT)
+    kept = kept[np.lexsort((seen[kept], -count[kept]))]
+    rank = np.full(len(seen), -1, np.int32)
+    rank[kept] = np.arange(len(kept))
+    rank = rank[own]
+    often = rank >= 0
+    return some[often], rank[often], seen[kept]
+
+
+def _packed(x: np.ndarray, bits: int) -> bytes:
+    return np.packbits(((x.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1).astype(np.uint8)).tobytes()
+
+
+def _unpacked(data: bytes, n: int, bits: int, at: int) -> np.ndarray:
+    flat = np.unpackbits(np.frombuffer(data, np.uint8, -(-n * bits // 8), at), count=n * bits).reshape(n, bits)
+    out = np.zeros(n, np.int64)
+    for i in range(bits):
+        out |= flat[:, i].astype(np.int64) << i
+    return out
 
 
 def compress(ids: np.ndarray) -> bytes:
-    """A block: header, rules (left and right symbols), their expansion lengths, the sequence."""
+    """A shard: header, rules (left and right symbols), their expansion lengths, the sequence; symbols take as many bits as they need.
+
+    Round after round all frequent pairs are counted, and where they overlap the more frequent one is replaced, until no
+    pair stands MIN_COUNT times.
+    """
     s = ids.astype(np.uint64)
-    base = max(int(s.max()) + 1 if len(s) else 0, 1 << 15)
-    room = max(0, (1 << 16) - base) if base < 1 << 16 else 1 << 14
+    base = int(s.max()) + 1 if len(s) else 0
     left, right, made = [], [], 0
-    while len(s) >= 2 * MIN_COUNT and made < room:
-        key = (s[:-1] << np.uint64(32)) | s[1:]
-        seen, count = np.unique(key, return_counts=True)
-        often = count >= MIN_COUNT
-        seen, count = seen[often], count[often]
-        order = np.lexsort((seen, -count))[: -(-(room - made) // 2)]
-        if not len(order):
+    # pairs that can be frequent: all at first, then those that were and those with a symbol of the last round
+    live = np.ones(max(0, len(s) - 1), bool)
+    while True:
+        where = np.flatnonzero(live)
+        some, rank, pair = _often((s[where] << np.uint64(32)) | s[where + 1])
+        if not len(pair):
             break
-        seen = seen[order]
-        slot, own = np.unique(_slot(seen), return_index=True)  # of pairs with one slot the most frequent stays
-        rank_at, key_at = np.full(1 << 17, 1 << 30, np.int64), np.zeros(1 << 17, np.uint64)
-        rank_at[slot], key_at[slot] = own, seen[own]
-        h = _slot(key)
-        rank = np.where(key_at[h] == key, rank_at[h], 1 << 30)
-        least = np.concatenate([[1 << 30], rank, [1 << 30]])
+        at = where[some]
+        n, spot = len(at), np.arange(len(at))
+        beside = at[1:] == at[:-1] + 1
+        worse = np.zeros(n, bool)
+        worse[1:] |= beside & (rank[:-1] < rank[1:])
+        worse[:-1] |= beside & (rank[1:] < rank[:-1])
         # of a run of one id every second pair is taken
-        at = np.arange(len(rank))
-        even = (at - np.maximum.accumulate(np.where(rank != least[:-2], at, 0))) % 2 == 0
-        pick = np.flatnonzero((rank < 1 << 30) & (rank <= least[:-2]) & (rank <= least[2:]) & even)
-        used = np.bincount(rank[pick], minlength=len(seen))
-        good = used >= 3
-        pick = pick[good[rank[pick]]]
-        name = np.cumsum(good) - 1 + base + made
-        left.append((seen[good] >> np.uint64(32)).astype(np.uint32))
-        right.append((seen[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        s[pick] = name[rank[pick]].astype(np.uint64)
+        first = np.ones(n, bool)
+        first[1:] = ~beside | (rank[1:] != rank[:-1])
+        taken = ~worse & ((spot - np.maximum.accumulate(np.where(first, spot, 0))) % 2 == 0)
+        used = np.bincount(rank[taken], minlength=len(pair))
+        # the most frequent pair always stands, so a round is never without a rule
+        good = used >= min(MIN_COUNT // 2, int(used.max()))
+        taken &= good[rank]
+        pick = at[taken]
+        new = base + made
+        left.append((pair[good] >> np.uint64(32)).astype(np.int64))
+        right.append((pair[good] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        s[pick] = (np.cumsum(good) - 1 + new)[rank[taken]].astype(np.uint64)
+        made += int(good.sum())
         keep = np.ones(len(s), bool)
         keep[pick + 1] = False
-        s = s[keep]
-        made += int(good.sum())
-    left = np.concatenate(left) if left else np.empty(0, np.uint32)
-    right = np.concatenate(right) if right else np.empty(0, np.uint32)
-    lengths = np.ones(made, np.uint32)
-    for i in range(made):  # a rule uses earlier ones only
-        lengths[i] = sum(int(lengths[x - base]) if x >= base else 1 for x in (int(left[i]), int(right[i])))
-    wide = base + made > 1 << 16
-    kind = "<u4" if wide else "<u2"
-    head = struct.pack("<4sBIIII", MAGIC, wide, base, made, len(s), len(ids))
-    return head + left.astype(kind).tobytes() + right.astype(kind).tobytes() + lengths.astype("<u4").tobytes() + s.astype(kind).tobytes()
-
-
-class Block:
-    """A compressed block; ids(a, b) decodes a range."""
+        live = np.zeros(len(s), bool)
+        live[at] = True
+        s, live = s[keep], live[keep][:-1]
+        fresh = np.flatnonzero(s >= new)
+        live[fresh[fresh < len(live)]] = True
+        live[fresh[fresh > 0] - 1] = True
+    empty = np.empty(0, np.int64)
+    lengths, done = np.ones(made, np.int64), 0
+    for a, b in zip(left, right, strict=True):  # a round's rules use earlier rounds' ones
+        known = np.concatenate([np.ones(base, np.int64), lengths[:done]])
+        lengths[done : done + len(a)] = known[a] + known[b]
+        done += len(a)
+    left, right = np.concatenate([empty, *left]), np.concatenate([empty, *right])
+    bits, wide = max(1, (base + made - 1).bit_length() if base else 1), max(1, int(lengths.max(initial=1)).bit_length())
+    head = struct.pack(HEAD, MAGIC, bits, wide, base, made, len(s), len(ids))
+    return head + _packed(left, bits) + _packed(right, bits) + _packed(lengths, wide) + _packed(s, bits)
+
+
+class Shard:
+    """A compressed shard; ids(a, b) decodes a range."""
 
     def __init__(self, data: bytes):
-        magic, wide, self.base, rules, n, self.n_ids = struct.unpack_from("<4sBIIII", data)
+        magic, bits, wide, self.base, rules, n, self.n_ids = struct.unpack_from(HEAD, data)
         if magic != MAGIC:
-            raise ValueError("not a grammar block")
-        kind, width, at = ("<u4", 4, 21) if wide else ("<u2", 2, 21)
-        self.left = np.frombuffer(data, kind, rules, at).astype(np.int64)
-        self.right = np.frombuffer(data, kind, rules, at + rules * width).astype(np.int64)
-        self.lengths = np.frombuffer(data, "<u4", rules, at + 2 * rules * width).astype(np.int64)
-        self.sequence = np.frombuffer(data, kind, n, at + rules * (2 * width + 4)).astype(np.int64)
+            raise ValueError("not a grammar shard")
+        at, parts = struct.calcsize(HEAD), []
+        for count, size in ((rules, bits), (rules, bits), (rules, wide), (n, bits)):
+            parts.append(_unpacked(data, count, size, at))
+            at += -(-count * size // 8)
+        self.left, self.right, self.lengths, self.sequence = parts
         rule = self.sequence >= self.base
         size = np.ones(n, np.int64)
         size[rule] = self.lengths[self.sequence[rule] - self.base]
@@ -257,18 +293,17 @@ class Block:
         return s[skip : skip + b - a].astype(np.uint32)
 
 
-BLOCKS = "shard int, block int, n_docs long, n_ids long, doc_ids binary, ends binary, payload binary"
+SHARDS = "run int, shard int, first_in_run long, n_docs long, n_ids long, doc_ids binary, ends binary, payload binary"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Encodes doc_id and text and returns the table of blocks as written, in ascending doc_id order by (shard, block)."""
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+    """Encodes doc_id and text and returns the table of shards as written, in ascending doc_id order by (run, shard)."""
     spark = docs.sparkSession
-    small_batches(spark, 256)
     with open(tokenizer, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, block = PieceEncoder(source.value), TaskContext.get().partitionId(), 0
+        encoder, own, shard, before = PieceEncoder(source.value), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # doc ids, ids, numbers of ids
 
         def close() -> pa.RecordBatch:
@@ -277,8 +312,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("k", pa.int64())])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([keys], ["k"]))
-            row = {"shard": [shard], "block": [block], "n_docs": [len(n)], "n_ids": [len(ids)], "doc_ids": [sink.getvalue().to_pybytes()], "ends": [np.cumsum(n).astype("<i8").tobytes()], "payload": [compress(ids)]}
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            row = {"run": [own], "shard": [shard], "first_in_run": [before], "n_docs": [len(n)], "n_ids": [len(ids)], "doc_ids": [sink.getvalue().to_pybytes()], "ends": [np.cumsum(n).astype("<i8").tobytes()], "payload": [compress(ids)]}
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], [*row])
 
         for batch in batches:
@@ -290,28 +325,32 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
                 body[ends - 1] = False
                 out[body] = ids
                 held.append((piece.column(0).cast(pa.int64()), out, n + 1))
-                if sum(len(x[1]) for x in held) >= block_ids:
+                now = sum(len(x[1]) for x in held)
+                if now >= shard_ids:
                     yield close()
-                    held, block = [], block + 1
+                    held, shard, before = [], shard + 1, before + now
         if held:
             yield close()
 
-    spread = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(spread.mapInArrow(run, BLOCKS), "shards")
+    # the start of the text splits one id that very many rows hold; the order by text agrees with it
+    keys = [F.col("doc_id"), F.substring("text", 1, 32)]
+    spread = docs.select("doc_id", "text").repartitionByRange(partitions(spark), *keys).sortWithinPartitions("doc_id", "text")
+    return stored(spread.mapInArrow(run, SHARDS), "shards")
 
 
-def read_shards(blocks: DataFrame) -> DataFrame:
-    """From blocks: doc_id, start, n_tokens, ids_crc32, in the shards' order. Totals are summed over blocks, a row for 130,000 ids."""
-    order = Window.orderBy("shard", "block")
-    first = blocks.select("shard", "block", "n_ids").withColumn("first", F.sum("n_ids").over(order) - F.col("n_ids")).drop("n_ids")
-    spans = blocks.join(first, ["shard", "block"]).select("first", "doc_ids", "ends", "payload")
+def read_shards(shards: DataFrame) -> DataFrame:
+    """From shards: doc_id, start, n_tokens, ids_crc32, in the shards' order. Only the runs' totals (a row for each task that wrote) are summed in one place."""
+    order = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = shards.groupBy("run").agg(F.sum("n_ids").alias("n")).select("run", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    # as many rows as tasks have written
+    spans = shards.join(F.broadcast(totals), "run").select((F.col("before") + F.col("first_in_run")).alias("first"), "doc_ids", "ends", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 keys = pa.ipc.open_stream(row["doc_ids"]).read_all().column("k").combine_chunks()
                 ends = np.frombuffer(row["ends"], "<i8")
-                ids = Block(row["payload"]).ids().astype("<u4")
+                ids = Shard(row["payload"]).ids().astype("<u4")
                 starts = np.append(0, ends[:-1])
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(starts + row["first"]), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

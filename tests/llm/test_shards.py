@@ -13,12 +13,12 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("ids", [[], [1], [5] * 1000, [1, 2] * 500, [*range(70000)] * 2, [1, 1, 2, 1, 1, 2, 1] * 99])
-def test_grammar_blocks(ids):
+def test_grammar_shards(ids):
     ids = np.array(ids, np.uint32)
-    block = shards.Block(shards.compress(ids))
-    assert (block.ids() == ids).all() and block.n_ids == len(ids)
+    shard = shards.Shard(shards.compress(ids))
+    assert (shard.ids() == ids).all() and shard.n_ids == len(ids)
     for a, b in ((0, 1), (3, 9), (len(ids) // 2, len(ids)), (5, 5), (len(ids), len(ids) + 4)):
-        assert (block.ids(a, b) == ids[a:b]).all()
+        assert (shard.ids(a, b) == ids[a:b]).all()
 
 
 def test_repeats_get_smaller():
@@ -33,11 +33,10 @@ def test_rules_are_made_until_no_pair_is_frequent():
     phrase = rng.integers(0, 30000, 600)
     noise = [rng.integers(0, 30000, 13_000) for _ in range(12)]
     ids = np.concatenate([x for part in noise for x in (phrase, part)] + [np.full(64, 7)]).astype(np.uint32)
-    assert len(ids) > shards.BLOCK_IDS
-    block = shards.Block(shards.compress(ids))
-    assert (block.ids() == ids).all()
-    assert block.lengths.max() > 500
-    _, count = np.unique((block.sequence[:-1] << 32) | block.sequence[1:], return_counts=True)
+    shard = shards.Shard(shards.compress(ids))
+    assert (shard.ids() == ids).all()
+    assert shard.lengths.max() > 500
+    _, count = np.unique((shard.sequence[:-1] << 32) | shard.sequence[1:], return_counts=True)
     assert count.max() < shards.MIN_COUNT
 
 
@@ -64,7 +63,7 @@ def test_full_memory_changes_nothing(monkeypatch):
 
 
 def test_documents(spark, odd, none):
-    rows = shards.read_shards(shards.write_shards(odd, PATH, block_ids=64)).collect()
+    rows = shards.read_shards(shards.write_shards(odd, PATH, shard_ids=64)).collect()
     t = Tokenizer.from_file(PATH)
     docs = sorted(((d.doc_id is not None, d.doc_id or 0, d.text is not None, d.text or "") for d in odd.collect()))
     at = 0
