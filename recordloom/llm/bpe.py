@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from recordloom.llm.common import pieces, segments, small_batches
+from recordloom.llm.common import pieces, segments
 
 #: White space of the tokenizer's patterns (Unicode White_Space).
 SPACE = "\t-\r \x85   -     　"
@@ -226,7 +226,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", lists:
     tokenizer: the tokenizer file's path, read on the driver only; its content (under 2 MB) goes with the tasks.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -12,10 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python; documents are a few KB, so a batch is a few MB.
-ARROW_ROWS = 512
-#: Text bytes that numpy code works on at a time.
-PIECE_BYTES = 2 << 20
+#: Text bytes and rows that numpy code works on at a time. Spark itself bounds an Arrow batch by bytes; no setting is changed.
+PIECE_BYTES, PIECE_ROWS = 2 << 20, 1024
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -55,9 +53,8 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, and so the memory of Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 0) -> None:
+    """Does nothing: operators bound their memory themselves, by pieces()."""
 
 
 def partitions(spark: SparkSession) -> int:
@@ -236,13 +233,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about limit bytes of text each; one text is never split."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about limit bytes of text and at most so many rows each; one text is never split."""
     texts = batch.column(batch.schema.get_field_index(column))
     offsets, _ = text_bytes(texts)
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = max(at + 1, min(at + rows, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 

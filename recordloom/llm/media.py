@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from recordloom.llm.common import pieces, small_batches, text_bytes
+from recordloom.llm.common import pieces, text_bytes
 
 UNIT = 192
 MAX_ROWS = 8191
@@ -335,7 +335,6 @@ def hashes(thumb: np.ndarray) -> tuple[str, str]:
 
 def media_column(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Replaces the text by its JPEG: adds n_bytes (of the text) and media (binary)."""
-    small_batches(df.sparkSession)
     keep = [c for c in df.columns if c not in (text, media, "n_bytes")]
     schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
 
@@ -373,7 +372,6 @@ def read_media(value: bytes | None) -> list[tuple[bytes, dict]] | None:
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     """From stored images: width, height (of the first), n_images, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    small_batches(df.sparkSession)
     own = {"width": T.IntegerType(), "height": T.IntegerType(), "n_images": T.IntegerType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType()}
     keep = [c for c in df.columns if c not in own and c != media]
     schema = T.StructType([f for f in df.schema if f.name in keep] + [T.StructField(n, t) for n, t in own.items()])

@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A document's terms are the trigrams of its bytes' classes (small letter, capital, digit, blank, kinds
-of punctuation, ...) and words that repeat the one before. Square roots of the terms' shares are
-projected on the leading singular vectors of a bounded labelled sample (TRAIN_ROWS). The sample's
+A document's terms are its words (lower case, hashed to WORD_TERMS), and, for how it is written, the trigrams of its
+bytes' classes (small letter, capital, digit, blank, kinds of punctuation, ...) and words that repeat the one before.
+Square roots of the terms' shares, words and writing apart, words weighted by inverse document frequency in the sample,
+are projected on the leading singular vectors of a bounded labelled sample (TRAIN_ROWS). The sample's
 latent vectors are broadcast (TRAIN_ROWS x DIMENSIONS doubles at most); every document takes exact
 cosine products with all of them in blocks, and its nearest neighbours vote with their similarity.
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import Words, held_out, pieces, small_batches, table, text_bytes, training_rows
+from recordloom.llm.common import Words, held_out, pieces, span_hashes, table, text_bytes, training_rows
 
 TRAIN_ROWS = 4000
 DIMENSIONS = 48
@@ -29,6 +30,8 @@ NEIGHBOURS = 15
 #: A neighbour's vote is its cosine to this power.
 SHARPNESS = 16
 BLOCK_ROWS = 256
+#: Rounds of orthogonal iteration.
+ITERATIONS = 12
 
 
 def _classes() -> np.ndarray:
@@ -42,28 +45,39 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 N_CLASSES = 13
-TERMS = N_CLASSES**3 + 1
+#: Terms of the writing, and of the words.
+FORM_TERMS = N_CLASSES**3 + 1
+WORD_TERMS = 2048
+TERMS = FORM_TERMS + WORD_TERMS
+#: Weight of the words' part against that of the writing.
+WORDS_WEIGHT = 0.5
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def term_shares(texts: pa.Array) -> np.ndarray:
-    """Square roots of the shares of each term in each text; the last term is a word that equals the one before."""
+    """Square roots of the shares of each term in each text: of writing (the last one: words that equal the one before), then of words."""
     n = len(texts)
     offsets, data = text_bytes(texts)
     c = CLASSES[data].astype(np.int64)
-    out = np.zeros((n, TERMS))
+    out = np.zeros((n, FORM_TERMS))
     if len(c) >= 3:
         code = (c[:-2] * N_CLASSES + c[1:-1]) * N_CLASSES + c[2:]
         doc = np.repeat(np.arange(n), np.diff(offsets))
         own = doc[:-2] == doc[2:]
-        out[:, :-1] = np.bincount(doc[:-2][own] * (TERMS - 1) + code[own], minlength=n * (TERMS - 1)).reshape(n, TERMS - 1)
+        out[:, :-1] = np.bincount(doc[:-2][own] * (FORM_TERMS - 1) + code[own], minlength=n * (FORM_TERMS - 1)).reshape(n, FORM_TERMS - 1)
     w = Words(texts)
     if len(w.doc) > 1:
         h = w.hashes()
         again = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
         # a repeated word weighs as much as its letters would
         out[:, -1] = np.bincount(w.doc[1:][again], (w.end - w.start + 1)[1:][again], n)
-    total = out.sum(axis=1, keepdims=True)
-    return np.sqrt(out / np.maximum(total, 1))
+    w = Words(texts, _BETWEEN)
+    slot = (span_hashes(_LOWER[w.data], w.start, w.end) >> np.uint64(40)).astype(np.int64) % WORD_TERMS
+    named = np.bincount(w.doc * WORD_TERMS + slot, minlength=n * WORD_TERMS).reshape(n, WORD_TERMS)
+    return np.concatenate([np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in (out, named)], axis=1)
 
 
 class Model:
@@ -102,10 +116,16 @@ def fit(shares: np.ndarray, labels: np.ndarray) -> Model:
     """shares: rows of term_shares in the order in which ties vote."""
     if not len(labels):
         return Model(np.zeros((TERMS, 1)), np.zeros((0, 1)), labels)
-    values, vectors = np.linalg.eigh(shares @ shares.T if len(shares) < TERMS else shares.T @ shares)
-    lead = np.argsort(-values)[:DIMENSIONS]
-    lead = lead[values[lead] > 1e-9]
-    projection = vectors[:, lead] if len(shares) >= TERMS else shares.T @ vectors[:, lead] / np.sqrt(values[lead])
+    weight = np.ones(TERMS, np.float32)
+    weight[FORM_TERMS:] = WORDS_WEIGHT * np.log((1 + len(shares)) / (1 + (shares[:, FORM_TERMS:] > 0).sum(axis=0))) / np.log(1 + len(shares))
+    weighted = shares * weight
+    # leading right singular vectors by orthogonal iteration from a fixed start
+    base = np.linalg.qr(weighted.T @ np.random.default_rng(1).standard_normal((len(shares), min(DIMENSIONS + 16, len(shares)))).astype(np.float32))[0]
+    for _ in range(ITERATIONS):
+        base = np.linalg.qr(weighted.T @ (weighted @ base))[0]
+    _, sizes, turned = np.linalg.svd(weighted @ base, full_matrices=False)
+    lead = np.flatnonzero(sizes[:DIMENSIONS] > 1e-5)
+    projection = (weight[:, None] * (base @ turned[lead].T)).astype(np.float64)
     model = Model(projection, np.zeros((0, 1)), labels)
     model.vectors = model.latent(shares)
     return model
@@ -118,15 +138,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         for batch in batches:
             for piece in pieces(batch):
                 shares = term_shares(piece.column(2)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([x.tobytes() for x in shares], pa.binary())], ["doc_id", "_label", "shares"])
-
-    found = sample.mapInArrow(run, "doc_id long, _label int, shares binary").toArrow().sort_by("doc_id")
-    shares = np.frombuffer(b"".join(found.column("shares").to_pylist()), np.float32).reshape(-1, TERMS).astype(np.float64)
+                row, at = np.nonzero(shares)
+                ends = np.searchsorted(row, np.arange(len(shares) + 1)).astype(np.int32)
+                terms, values = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (at.astype(np.int32), shares[row, at]))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), terms, values], ["doc_id", "_label", "terms", "shares"])
+
+    found = sample.mapInArrow(run, "doc_id long, _label int, terms array<int>, shares array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    terms, values = (found.column(c).combine_chunks() for c in ("terms", "shares"))
+    shares = np.zeros((len(found), TERMS), np.float32)
+    shares[np.repeat(np.arange(len(found)), terms.value_lengths().to_numpy()), terms.flatten().to_numpy()] = values.flatten().to_numpy()
     return fit(shares, np.array(found.column("_label").to_pylist(), np.float64))
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (score, text)]
     schema = T.StructType([f for f in docs.schema if f.name in keep] + [T.StructField(score, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.projection, model.vectors, model.labels))
@@ -144,7 +168,6 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import _WORDS, Words, gram_hashes, grouped, mix, partitions, pieces, segments, small_batches, stored, table
+from recordloom.llm.common import _WORDS, Words, gram_hashes, grouped, mix, partitions, pieces, segments, stored, table
 
 WINDOW = 13
 PREFIX = 5
@@ -124,7 +124,6 @@ def window_owners(texts: pa.Array, n_windows: np.ndarray, ids: np.ndarray, windo
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, spans: bool = False) -> DataFrame:
     """docs with the text less its repeated words, n_words, n_removed, kept_sha256 and, with spans, removed: ranges of words."""
     spark = docs.sparkSession
-    small_batches(spark)
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     if spans:
         added.append(T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
@@ -151,7 +150,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
 
     chunks = stored(docs.select(*keep).mapInArrow(chunked, "chunk long, words long, blob binary"), "chunks", "none")
     total = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    small_batches(spark, 8)
     census_groups = max(partitions(spark), math.ceil(total / CENSUS_WORDS))
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import Words, held_out, mix, pieces, small_batches, span_hashes, table, training_rows
+from recordloom.llm.common import Words, held_out, mix, pieces, span_hashes, table, training_rows
 
 TRAIN_ROWS = 8000
 FEATURES = 1024
@@ -214,7 +214,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """docs with the model's score."""
-    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != score]
     schema = T.StructType([f for f in docs.schema if f.name in keep] + [T.StructField(score, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
@@ -233,7 +232,6 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    small_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
