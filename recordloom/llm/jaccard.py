@@ -55,10 +55,11 @@ PART = 1 << 15
 SKETCH = 64
 #: Share of a pair's common sketch from which it is a candidate (some six standard errors below the similarity).
 SKETCH_SHARE = 0.45
-#: Share with the first set of a group from which a set's partners are in the group, too: 1 - similarity above, and four standard errors.
-CLOSE_SHARE = 0.85
-#: Groups that are taken out of a bucket before it is split.
-CANOPIES = 4
+#: Share with the first set of a group from which a set's partners are in the group, too, as 1 - share is a distance;
+#: and what is added where a sketch is a sample.
+CLOSE_SHARE, SAMPLED = SKETCH_SHARE + 1 - SIMILARITY, 0.1
+#: Comparisons of a bucket in which groups are taken out of it before it is split.
+COMPARISONS = 1 << 18
 #: Sets of a group in the exact comparison.
 BLOCK = 128
 #: Sets of a block of differences.
@@ -216,32 +217,33 @@ def _split(runs: int):
     def run(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """A large bucket: links (in head and rid), and longer paths of the sets that still need partners.
 
-        The smallest set that is linked to none takes all that are similar to it. Two sets of one such group are in one
-        component, so only sets on its edge and sets that no group took need further partners.
+        The set whose tokens are the most common ones takes all that are similar to it, then the next that none took.
+        Two sets of one such group are in one component, so only sets on its edge and sets that no group took need
+        further partners.
         """
         rid = rows.column("rid").to_numpy()
         tokens, sizes = flat(rows.column("sketch"))
         sketch = padded(tokens, sizes)
-        order = np.lexsort((rid, sizes))
+        close = np.where(sizes == SKETCH, CLOSE_SHARE + SAMPLED, CLOSE_SHARE)
+        _, which, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        central = np.bincount(np.repeat(np.arange(len(rid)), sizes), often[which], len(rid)) / np.maximum(sizes, 1)
+        path = rows.column("path")[0].as_py()
+        # a set with no token beyond the path has no children, so it comes first
+        order = np.lexsort((rid, -central, sizes > len(path or [0])))
         loose, stay = rows.column("loose").to_numpy(zero_copy_only=False).copy(), np.ones(len(rid), bool)
-        for _ in range(CANOPIES):
-            heads = order[loose[order]]
-            if len(heads) <= LEAF:
-                break
+        left = COMPARISONS
+        for head in order:
             at = np.flatnonzero(stay)
-            near = _shares(sketch, np.full(len(at), heads[0]), at)
-            link = at[(near >= SKETCH_SHARE) & (at != heads[0])]
-            yield _links(np.full(len(link), rid[heads[0]]), rid[link])
-            loose[link] = loose[heads[0]] = False
-            stay[at[near >= CLOSE_SHARE]] = False
-        heads, at = order[loose[order]], np.flatnonzero(stay)
-        if len(heads) <= LEAF:
-            for head in heads:
-                near = _shares(sketch, np.full(len(at), head), at)
-                link = at[(near >= SKETCH_SHARE) & (at != head)]
-                yield _links(np.full(len(link), rid[head]), rid[link])
-        else:
-            yield from _children(rows.take(pa.array(at)), runs)
+            if not loose[head] or left < len(at) and loose.sum() > LEAF:
+                continue
+            near = _shares(sketch, np.full(len(at), head), at)
+            left -= len(at)
+            link = at[(near >= SKETCH_SHARE) & (at != head)]
+            yield _links(np.full(len(link), rid[head]), rid[link])
+            loose[link] = loose[head] = False
+            stay[at[near >= close[at]]] = stay[head] = False
+        if loose.any():
+            yield from _children(rows.take(pa.array(np.flatnonzero(stay))), runs)
 
     return run
 
@@ -268,7 +270,8 @@ def _split_huge(rows: DataFrame, runs: int) -> tuple[DataFrame, list[DataFrame]]
     left = met.groupBy("bucket").agg(F.sum(F.when(F.col("loose") & ~F.col("taken"), 1).otherwise(0)).alias("left"), F.count(F.lit(1)).alias("all"), F.min("loose_before").alias("before"))
     left = stored(left.where("left > 0").select("bucket", "all", (F.col("left") * 2 > F.col("before")).alias("longer")), "huge-left")
     link = met.where("taken and rid != head").select(F.lit(None).cast("long").alias("bucket"), "rid", F.lit(None).cast("array<long>").alias("path"), F.lit(None).cast("boolean").alias("loose"), "head")
-    after = spread_join(met.where(F.col("near") < CLOSE_SHARE).select("bucket", "rid", "path", "sketch", (F.col("loose") & ~F.col("taken")).alias("loose")), left, ["bucket"], "all")
+    close = F.when(F.octet_length("sketch") == 4 * SKETCH, CLOSE_SHARE + SAMPLED).otherwise(CLOSE_SHARE)
+    after = spread_join(met.where(F.col("near") < close).select("bucket", "rid", "path", "sketch", (F.col("loose") & ~F.col("taken")).alias("loose")), left, ["bucket"], "all")
     again = after.where("not longer").select("bucket", "rid", "path", "loose", F.lit(None).cast("long").alias("head"))
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,8 +384,8 @@ def _count_bins(similarity: float):
         before = None
         while before is None or (low != before).any():
             before = low.copy()
-            for a in range(0, n, 1024):
-                at = np.arange(a, min(n, a + 1024))
+            for a in range(0, n, 128):
+                at = np.arange(a, min(n, a + 128))
                 yes, no = decided(whole, step, size[at], lacks[at], size, lacks, similarity)
                 self_sure[at] = yes[at - a, at]
                 sure[at] = (yes * copies[None, :]).sum(axis=1)
