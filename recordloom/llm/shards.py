@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,10 +37,10 @@ END_ID = 2
 SHARD_IDS = 1 << 19
 #: Pairs of a round must occur this often; all positions count. Any choice of rules is lossless.
 MIN_COUNT = 6
-#: Bits of the slots in which pairs are counted before they are sorted.
+#: Most bits of the slots in which pairs are counted before they are sorted.
 PAIR_BITS = 20
 #: Places for remembered pieces, and ids that are kept for them.
-SLOT_BITS = 19
+SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 KEPT_IDS = 3_500_000
 #: Text bytes that a worker looks at together: its arrays are some tens of times as large.
@@ -173,13 +174,20 @@ class PieceEncoder:
         return found, count
 
 
+@lru_cache(maxsize=1)
+def encoder_of(source: str) -> PieceEncoder:
+    """A worker's encoder, which keeps what it remembers from task to task."""
+    return PieceEncoder(source)
+
+
 def _often(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where pairs stand that do so MIN_COUNT times or more, each one's rank there (0: the most frequent), and the pairs by rank.
 
     Positions whose slot stands more seldom need no sort.
     """
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int32)
-    some = np.flatnonzero(np.bincount(slot, minlength=1 << PAIR_BITS)[slot] >= MIN_COUNT)
+    bits = min(PAIR_BITS, len(key).bit_length() + 1)
+    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+    some = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= MIN_COUNT)[slot])
     seen, own, count = np.unique(key[some], return_inverse=True, return_counts=True)
     kept = np.flatnonzero(count >= MIN_COUNT)
     kept = kept[np.lexsort((seen[kept], -count[kept]))]
@@ -222,7 +230,7 @@ def compress(ids: np.ndarray) -> bytes:
         n, spot = len(at), np.arange(len(at))
         beside = at[1:] == at[:-1] + 1
         worse = np.zeros(n, bool)
-        worse[1:] |= beside & (rank[:-1] < rank[1:])
+        worse[1:] = beside & (rank[:-1] < rank[1:])
         worse[:-1] |= beside & (rank[1:] < rank[:-1])
         # of a run of one id every second pair is taken
         first = np.ones(n, bool)
@@ -282,6 +290,20 @@ class Shard:
         first, last = np.searchsorted(self.ends, a, side="right"), np.searchsorted(self.ends, b, side="left")
         s = self.sequence[first : last + 1]
         skip = a - (int(self.ends[first - 1]) if first else 0)
+        rule = np.flatnonzero(s >= self.base)
+        if len(rule):
+            used, which = np.unique(s[rule], return_inverse=True)
+            size = np.ones(len(s), np.int64)
+            size[rule] = self.lengths[s[rule] - self.base]
+            flat, each = self._expanded(used), self.lengths[used - self.base]
+            # the used rules' ids, and then the plain ids, as one table from which the sequence is read
+            start = len(flat) + np.arange(len(s))
+            start[rule] = (np.cumsum(each) - each)[which]
+            s = np.concatenate([flat, s])[segments(start, size)]
+        return s[skip : skip + b - a].astype(np.uint32)
+
+    def _expanded(self, s: np.ndarray) -> np.ndarray:
+        """The ids that some rules stand for, one rule after another."""
         while len(rule := np.flatnonzero(s >= self.base)):
             at = rule + np.arange(len(rule))
             out = np.empty(len(s) + len(rule), np.int64)
@@ -290,7 +312,7 @@ class Shard:
             out[plain] = s[s < self.base]
             out[at], out[at + 1] = self.left[s[rule] - self.base], self.right[s[rule] - self.base]
             s = out
-        return s[skip : skip + b - a].astype(np.uint32)
+        return s
 
 
 SHARDS = "run int, shard int, first_in_run long, n_docs long, n_ids long, doc_ids binary, ends binary, payload binary"
@@ -303,7 +325,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_id
         source = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, own, shard, before = PieceEncoder(source.value), TaskContext.get().partitionId(), 0, 0
+        encoder, own, shard, before = encoder_of(source.value), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # doc ids, ids, numbers of ids
 
         def close() -> pa.RecordBatch:
