@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -38,19 +39,42 @@ def scratch_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and returns it as read from there."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.add(path)
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def discard(*tables: DataFrame | None) -> None:
+def discard(*tables: DataFrame) -> None:
     """Deletes tables made by stored(), once all that is read from them is stored itself."""
     for df in tables:
-        if df is not None:
-            spark = df.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    for paths in _OPEN:
+        paths.discard(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Paths of the tables that each open temporary_tables() has seen.
+_OPEN: list[set[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that stored() makes in the block, but for those put into the list: only what is stored may leave the block."""
+    paths, kept = set(), []
+    _OPEN.append(paths)
+    try:
+        yield kept
+    finally:
+        _OPEN.remove(paths)
+        for path in paths - {df.stored_at for df in kept}:
+            _delete(spark, path)
 
 
 def small_batches(spark: SparkSession, rows: int = 0) -> None:
