@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, jaccard, mixing, substrings, toxicity
-from recordloom.llm.common import small_batches, stored, table
+from recordloom.llm.common import discard, stored, table, temporary_tables
 
 #: Documents with this score or more are rejected.
 TOXIC = 0.5
@@ -34,7 +34,6 @@ def carried(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFram
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score, learned from the labels that are not held out, is below TOXIC."""
-    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return carried(docs, lambda df: toxicity.score_documents(df, model, score="_toxicity").where(F.col("_toxicity") < TOXIC))
 
@@ -76,6 +75,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with temporary_tables(spark) as kept:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        if i:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
