@@ -77,10 +77,6 @@ def temporary_tables(spark: SparkSession) -> Iterator[list[DataFrame]]:
             _delete(spark, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 0) -> None:
-    """Does nothing: operators bound their memory themselves, by pieces()."""
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
