@@ -323,9 +323,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 1
         yield pa.Table.from_batches(held)
 
 
-def grouped(df: DataFrame, keys: list[str], work, schema: str, n: int | None = None) -> DataFrame:
-    """One shuffle by keys, then work() for each key's rows. Keys must not be null; groups must be of bounded size."""
-    spread = df.repartition(n, *keys) if n else df.repartition(*keys)
+def grouped(df: DataFrame, keys: list[str], work, schema: str, n: int | None = None, direct: bool = False) -> DataFrame:
+    """One shuffle by keys, then work() for each key's rows. Keys must not be null; groups must be of bounded size.
+
+    direct: the only key is a number below n, and each group has a partition of its own.
+    """
+    spread = df.repartitionById(n, F.col(keys[0])) if direct else df.repartition(n, *keys) if n else df.repartition(*keys)
     return spread.sortWithinPartitions(*keys).mapInArrow(by_group(keys, work), schema)
 
 

@@ -5,11 +5,15 @@ anchor (the 5-word prefix with the smallest hash in the window) stands for it, s
 different documents meet under equal prefixes and a fifth of all suffixes is enough.
 
 1. Census: how often each prefix stands in different documents. Prefixes of one document are leaves and leave.
-2. The other suffixes go, with the words of their windows, to groups by prefix. A prefix that is too
-   frequent for one group is lengthened to the whole window, so its windows go to many groups.
-3. A group's suffix tree is built by prefix doubling (ranks of 1, 2, 4, 8 and WINDOW words): equal ranks
-   are the suffixes below one internal node of that depth. Each node's smallest doc_id owns its window.
-4. Words covered by a window whose owner has a smaller doc_id are removed.
+   A prefix that is too frequent for one group is lengthened, two words at a time, for each of its windows by
+   itself, and the longer prefixes are counted in turn, up to the whole window.
+2. The other suffixes go, with the words of their windows, to groups of a bounded number of bytes, one group to a task.
+3. A group's suffix tree is its suffix array with the common prefixes of neighbours: an internal node of depth WINDOW
+   or more is a stretch of suffixes that have as many words in common. Each such node's smallest doc_id owns its windows.
+4. Words covered by a window whose owner has a smaller doc_id are removed; windows that follow one another make a
+   maximal repeat, which is one range of the removed words.
+
+Words are compared as they are, by numbers from a dictionary of them; hashes only deal them to groups and look them up.
 
 Documents travel in chunks (Arrow, zstandard) that are written once to the shared folder, and all
 messages are per chunk: a passage in any number of documents is one entry for each chunk that holds
@@ -25,10 +29,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +46,16 @@ from recordloom.llm.common import _WORDS, Words, gram_hashes, grouped, mix, part
 WINDOW = 13
 PREFIX = 5
 CHUNK_BYTES = 2 << 20
-#: Words of a group, about: of all text for the census, of repeated prefixes for the trees.
+#: Words of all text for a group of the census, and bytes of suffixes, about, for a group of trees.
 CENSUS_WORDS = 6_000_000
-TREE_WORDS = 3_000_000
-#: A prefix in more chunks than this is lengthened to the whole window.
-HOT_CHUNKS = 20_000
+TREE_BYTES = 8 << 20
+#: A prefix in more chunks than this is lengthened.
+HOT_CHUNKS = 4096
+#: Words by which a prefix is lengthened.
+LONGER = 2
 NOBODY = np.int64(2**63 - 1)
 _ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(columns: dict) -> bytes:
@@ -60,11 +70,34 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
+def message(arrays: list[np.ndarray], body: bytes = b"") -> bytes:
+    """Arrays of one length and a body, without a schema: there are many small messages."""
+    return _PACK.compress(struct.pack("<I", len(arrays[0])) + b"".join(a.tobytes() for a in arrays) + body)
+
+
+def read_message(blob: bytes, kinds: str) -> tuple[list[np.ndarray], bytes]:
+    raw = _UNPACK.decompress(blob)
+    n, at, out = struct.unpack_from("<I", raw)[0], 4, []
+    for kind in kinds.split():
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * out[-1].itemsize
+    return out, raw[at:]
+
+
 def _packed(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "chunk": pa.int64(), "side": pa.int32(), "blob": pa.binary()}
+    kinds = {"bucket": pa.int32(), "chunk": pa.int64(), "level": pa.int32(), "hot": pa.int64(), "blob": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kinds[n]) for i, n in enumerate(names)], names)
 
 
+def numbered(w: Words) -> np.ndarray:
+    """For each word its number in the dictionary of all of them."""
+    size = w.end - w.start
+    ends = np.concatenate([[0], np.cumsum(size)])
+    data = w.data[segments(w.start, size)]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64) if len(size) else np.empty(0, np.int64)
+
+
 class Chunk:
     """A chunk's documents, their words, and the runs of windows with one anchor."""
 
@@ -76,8 +109,15 @@ class Chunk:
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.id = ids.fill_null(int(NOBODY)).to_numpy()
         n = len(self.hash) - window + 1
+        self._numbers = None
         self.valid = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :]) if n > 0 else np.empty(0, np.int64)
 
+    @property
+    def numbers(self) -> np.ndarray:
+        if self._numbers is None:
+            self._numbers = numbered(self.words)
+        return self._numbers
+
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First window, number of windows and prefix hash of each run."""
         s, prefix = self.valid, min(PREFIX, self.window)
@@ -94,6 +134,29 @@ class Chunk:
         at = np.flatnonzero(new)
         return s[at], np.diff(np.append(at, len(s))), least[at]
 
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the n words from a on are those from b on."""
+        out = np.ones(len(a), bool)
+        for k in range(int(n.max(initial=0))):
+            at = np.flatnonzero(out & (n > k))
+            out[at] = self.numbers[a[at] + k] == self.numbers[b[at] + k]
+        return out
+
+    def placed(self, known: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First window, number of windows and prefix hash of what stands under repeated prefixes of the lengths counted so far,
+        and the windows whose longest prefix of these is still too frequent."""
+        start, n, prefix = self.runs()
+        hit, hot = _known(known[0], prefix)
+        out = [(start[hit & ~hot], n[hit & ~hot], prefix[hit & ~hot])]
+        rest = segments(start[hot], n[hot])
+        for entries, length in zip(known[1:], lengths[1:], strict=False):
+            prefix = self.spans(rest, np.full(len(rest), length))
+            hit, hot = _known(entries, prefix)
+            cool = hit & ~hot
+            out.append((rest[cool], np.ones(int(cool.sum()), np.int64), prefix[cool]))
+            rest = rest[hot]
+        return *(np.concatenate(x) for x in zip(*out, strict=True)), rest
+
     def spans(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Hashes of the words start:start+n."""
         up, down = _WORDS.upto(len(self.hash) + 1)
@@ -101,24 +164,58 @@ class Chunk:
         return mix((total[start + n] - total[start]) * down[start] + n.astype(np.uint64))
 
 
-def window_owners(texts: pa.Array, n_windows: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
-    """The suffix tree of a group of contexts: for each of their windows, in order, the smallest id below its node."""
-    w = Words(texts)
-    _, rank = np.unique(w.hashes(), return_inverse=True)
-    rank = rank.astype(np.int64)
-    depth = 1
-    while depth < window:
-        step = min(depth, window - depth)
-        pair = rank.copy()
-        pair *= len(rank) + 1
-        pair[: len(rank) - step] += rank[step:] + 1  # past the end: 0
-        _, rank = np.unique(pair, return_inverse=True)
-        rank = rank.astype(np.int64)
-        depth += step
-    node = rank[segments(w.first[:-1], n_windows)]
-    owner = np.full(int(node.max()) + 1 if len(node) else 0, NOBODY)
-    np.minimum.at(owner, node, np.repeat(ids, n_windows))
-    return owner[node]
+def _known(entries: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether prefixes are among the repeated ones, and whether they are too frequent (in the lowest bit)."""
+    if not len(entries):
+        return np.zeros(len(prefix), bool), np.zeros(len(prefix), bool)
+    at = np.minimum(np.searchsorted(entries & ~np.uint64(1), prefix & ~np.uint64(1)), len(entries) - 1)
+    hit = (entries[at] & ~np.uint64(1)) == (prefix & ~np.uint64(1))
+    return hit, hit & ((entries[at] & np.uint64(1)) == 1)
+
+
+class Subtree:
+    """Suffixes of contexts in order, with the words that neighbours have in common; nodes of depth window or more.
+
+    order: suffixes (indexes into start) in the order of their words; common: words that each has in common with the one
+    before, up to the end of their contexts, or 0 if fewer than window; node: of each suffix; depth: of each node.
+    """
+
+    def __init__(self, numbers: np.ndarray, start: np.ndarray, end: np.ndarray, window: int):
+        """numbers: words of all contexts; start, end: each suffix's first word and the end of its context."""
+        bits = max(1, int(numbers.max(initial=0)).bit_length())
+        keys = []
+        for a in range(0, window, 63 // bits):
+            key = np.zeros(len(start), np.int64)
+            for k in range(a, min(window, a + 63 // bits)):
+                key = (key << bits) | numbers[start + k]
+            keys.append(key)
+        self.order = np.lexsort(keys[::-1])
+        same = np.zeros(len(start), bool)
+        if len(start):
+            same[1:] = np.logical_and.reduce([k[self.order][1:] == k[self.order][:-1] for k in keys])
+        self.common = np.where(same, window, 0)
+        pair = np.flatnonzero(same)
+        a, b = start[self.order[pair - 1]], start[self.order[pair]]
+        room = np.minimum(end[self.order[pair - 1]] - a, end[self.order[pair]] - b)
+        depth = window
+        while len(pair):
+            on = np.flatnonzero(room > depth)
+            on = on[numbers[a[on] + depth] == numbers[b[on] + depth]]
+            pair, a, b, room = pair[on], a[on], b[on], room[on]
+            depth += 1
+            self.common[pair] = depth
+        begin = np.flatnonzero(~same)
+        self.node = np.empty(len(start), np.int64)
+        self.node[self.order] = np.cumsum(~same) - 1
+        inner = np.where(same, self.common, np.iinfo(np.int64).max)
+        self.depth = np.minimum.reduceat(inner, begin) if len(begin) else inner
+        self.depth[self.depth == np.iinfo(np.int64).max] = 0  # a leaf
+
+    def owners(self, ids: np.ndarray) -> np.ndarray:
+        """The smallest id below each suffix's node."""
+        out = np.full(len(self.depth), NOBODY)
+        np.minimum.at(out, self.node, ids)
+        return out[self.node]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, spans: bool = False) -> DataFrame:
@@ -136,7 +233,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         def close() -> pa.RecordBatch:
             docs = pa.Table.from_batches(held).combine_chunks()
             n = int(Words(docs.column(text).combine_chunks()).n.sum())
-            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n], pa.int64()), pa.array([pack({c: docs.column(c).combine_chunks() for c in keep})], pa.binary())], ["chunk", "words", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([pack({c: docs.column(c).combine_chunks() for c in keep})], pa.binary())], ["chunk", "words", "bytes", "blob"])
 
         for batch in batches:
             for piece in pieces(batch, text, CHUNK_BYTES // 4):
@@ -148,31 +245,35 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         if held:
             yield close()
 
-    chunks = stored(docs.select(*keep).mapInArrow(chunked, "chunk long, words long, blob binary"), "chunks", "none")
-    total = chunks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    census_groups = max(partitions(spark), math.ceil(total / CENSUS_WORDS))
+    chunks = stored(docs.select(*keep).mapInArrow(chunked, "chunk long, words long, bytes long, blob binary"), "chunks", "none")
+    total = chunks.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    census_groups = max(partitions(spark), math.ceil(total.words / CENSUS_WORDS))
+    lengths = [*range(min(PREFIX, window), window, LONGER)] or [window]
+
+    def counts(chunk: int, prefix: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A chunk's distinct prefixes, with a bit for those of several documents, dealt to groups."""
+        order = np.lexsort((doc, prefix))
+        prefix, doc = prefix[order], doc[order]
+        at = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(prefix) else np.empty(0, np.int64)
+        if not len(at):
+            return
+        several = doc[at] != doc[np.append(at[1:], len(doc)) - 1]
+        entry = prefix[at] & ~np.uint64(1) | several.astype(np.uint64)
+        group = ((prefix[at] >> np.uint64(32)) % np.uint64(census_groups)).astype(np.int32)
+        order = np.argsort(group, kind="stable")
+        entry, group = entry[order], group[order]
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        yield _packed([(int(group[a]), chunk, entry[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)], ["bucket", "chunk", "blob"])
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                c = Chunk(unpack(blob), text, key, window)
+            for chunk, blob in zip(batch.column("chunk"), batch.column("blob"), strict=True):
+                c = Chunk(unpack(blob.as_buffer()), text, key, window)
                 start, _, prefix = c.runs()
-                doc = c.words.doc[start]
-                order = np.lexsort((doc, prefix))
-                prefix, doc = prefix[order], doc[order]
-                first = np.concatenate([[True], prefix[1:] != prefix[:-1]]) if len(prefix) else np.zeros(0, bool)
-                at = np.flatnonzero(first)
-                if not len(at):
-                    continue
-                several = doc[at] != doc[np.append(at[1:], len(doc)) - 1]
-                entry = prefix[at] & ~np.uint64(1) | several.astype(np.uint64)
-                group = ((prefix[at] >> np.uint64(32)) % np.uint64(census_groups)).astype(np.int32)
-                order = np.argsort(group, kind="stable")
-                entry, group = entry[order], group[order]
-                edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-                yield _packed([(int(group[a]), chunk, entry[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)], ["bucket", "chunk", "blob"])
+                yield from counts(chunk.as_py(), prefix, c.words.doc[start])
 
     def repeated(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Of each chunk the prefixes that stand in several documents, with a bit for those that are too frequent."""
         chunk = rows.column("chunk").to_numpy()
         parts = [np.frombuffer(b, np.uint64) for b in rows.column("blob").to_pylist()]
         entry = np.concatenate(parts)
@@ -181,43 +282,61 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         several = np.zeros(len(count), bool)
         several[inverse[(entry & np.uint64(1)) == 1]] = True
         stays = ((count > 1) | several)[inverse]
-        entry = (entry & ~np.uint64(1) | (count > HOT_CHUNKS)[inverse].astype(np.uint64))[stays]
-        owner = owner[stays]
+        hot = (count > HOT_CHUNKS)[inverse]
+        entry, hot, owner = (entry & ~np.uint64(1) | hot.astype(np.uint64))[stays], hot[stays], owner[stays]
         n = np.bincount(owner, minlength=len(parts))
         edge = np.concatenate([[0], np.cumsum(n)])
         some = np.flatnonzero(n)
         if len(some):
-            yield _packed([(int(chunk[i]), entry[edge[i] : edge[i + 1]].tobytes()) for i in some.tolist()], ["chunk", "blob"])
+            yield _packed([(int(chunk[i]), int(hot[edge[i] : edge[i + 1]].sum()), entry[edge[i] : edge[i + 1]].tobytes()) for i in some.tolist()], ["chunk", "hot", "blob"])
+
+    def meet(rows: pa.Table) -> tuple[bytes, list[tuple[int, bytes]]]:
+        """A chunk, and the messages to it by level."""
+        level, blobs = rows.column("level").to_pylist(), rows.column("blob").to_pylist()
+        return blobs[level.index(-1)], [(n, b) for n, b in zip(level, blobs, strict=True) if n >= 0]
+
+    def entries_of(answers: list[tuple[int, bytes]], levels: int) -> list[np.ndarray]:
+        return [np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, np.uint64) for n, b in answers if n == k)])) for k in range(levels)]
+
+    def next_census(levels: int):
+        def run(chunk_key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            blob, answers = meet(rows)
+            if answers:
+                c = Chunk(unpack(blob), text, key, window)
+                *_, rest = c.placed(entries_of(answers, levels), lengths)
+                yield from counts(chunk_key[0], c.spans(rest, np.full(len(rest), lengths[levels])), c.words.doc[rest])
+
+        return run
+
+    def sides(other: DataFrame) -> DataFrame:
+        return chunks.select("chunk", F.lit(-1).alias("level"), "blob").unionByName(other.select("chunk", "level", "blob"))
 
-    counted = chunks.select("chunk", "blob").mapInArrow(census, "bucket int, chunk long, blob binary")
-    prefixes = stored(grouped(counted, ["bucket"], repeated, "chunk long, blob binary", census_groups), "prefixes", "none")
-    tree_groups = max(partitions(spark), math.ceil((prefixes.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0] / 8) * (window + 4) / TREE_WORDS))
-    sides = lambda other: chunks.select("chunk", F.lit(0).alias("side"), "blob").unionByName(other.select("chunk", F.lit(1).alias("side"), "blob"))
+    def counted(found: DataFrame, level: int) -> DataFrame:
+        return stored(grouped(found, ["bucket"], repeated, "chunk long, hot long, blob binary", census_groups, direct=True).withColumn("level", F.lit(level)), "prefixes", "none")
 
-    def meet(rows: pa.Table) -> tuple[bytes, list[bytes]]:
-        side = rows.column("side").to_numpy()
-        blobs = rows.column("blob").to_pylist()
-        return blobs[int(np.flatnonzero(side == 0)[0])], [blobs[i] for i in np.flatnonzero(side == 1).tolist()]
+    prefixes = [counted(chunks.select("chunk", "blob").mapInArrow(census, "bucket int, chunk long, blob binary"), 0)]
+    while len(prefixes) < len(lengths) and not prefixes[-1].where("hot > 0").isEmpty():
+        levels = reduce(DataFrame.unionByName, prefixes)
+        prefixes.append(counted(grouped(sides(levels), ["chunk"], next_census(len(prefixes)), "bucket int, chunk long, blob binary"), len(prefixes)))
+    n_levels, prefixes = len(prefixes), reduce(DataFrame.unionByName, prefixes)
+    n_entries = prefixes.agg(F.coalesce(F.sum(F.octet_length("blob")), F.lit(0))).first()[0] / 8
+    tree_groups = max(partitions(spark), math.ceil(n_entries * (window + 4) * (total.bytes / max(total.words, 1)) / TREE_BYTES))
 
     def contexts(chunk_key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         blob, answers = meet(rows)
         if not answers:
             return
         c = Chunk(unpack(blob), text, key, window)
-        start, n, prefix = c.runs()
-        known = np.sort(np.concatenate([np.frombuffer(a, np.uint64) for a in answers]))
-        at = np.minimum(np.searchsorted(known & ~np.uint64(1), prefix & ~np.uint64(1)), len(known) - 1)
-        hit = (known[at] & ~np.uint64(1)) == (prefix & ~np.uint64(1))
-        hot = hit & ((known[at] & np.uint64(1)) == 1)
-        # of a prefix that is too frequent every window goes by itself, under its whole window
-        alone = segments(start[hot], n[hot])
-        cool = hit & ~hot
-        group = np.concatenate([prefix[cool], c.spans(alone, np.full(len(alone), window))])
-        start, n = np.concatenate([start[cool], alone]), np.concatenate([n[cool], np.ones(len(alone), np.int64)])
+        start, n, group, rest = c.placed(entries_of(answers, n_levels), lengths)
+        # what is too frequent at every length goes under its whole window
+        group = np.concatenate([group, c.spans(rest, np.full(len(rest), window))])
+        start, n = np.concatenate([start, rest]), np.concatenate([n, np.ones(len(rest), np.int64)])
         if not len(start):
             return
         # equal contexts of the chunk go once, with their smallest and largest id
         _, first, inverse = np.unique(c.spans(start, n + window - 1), return_index=True, return_inverse=True)
+        if not ((n == n[first[inverse]]) & c.same(start, start[first[inverse]], n + window - 1)).all():
+            first = inverse = np.arange(len(start))  # hashes of different words are equal
         doc = c.id[c.words.doc[start]]
         low, high = np.full(len(first), NOBODY), np.full(len(first), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, doc)
@@ -232,18 +351,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
         found = []
         for x, y in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-            body = pa.LargeStringArray.from_buffers(y - x, pa.py_buffer((ends[x : y + 1] - ends[x]).tobytes()), pa.py_buffer(data[ends[x] : ends[y]].tobytes()))
-            found.append((int(group[x]), chunk_key[0], pack({"at": pa.array(start[x:y], pa.int32()), "n": pa.array(n[x:y], pa.int16()), "low": pa.array(low[x:y]), "high": pa.array(high[x:y]), "text": body})))
+            arrays = [start[x:y].astype("<i4"), n[x:y].astype("<i2"), low[x:y].astype("<i8"), high[x:y].astype("<i8"), (b - a)[x:y].astype("<i4")]
+            found.append((int(group[x]), chunk_key[0], message(arrays, data[ends[x] : ends[y]].tobytes())))
         yield _packed(found, ["bucket", "chunk", "blob"])
 
     def tree(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(b) for b in rows.column("blob").to_pylist()]
-        chunk = np.repeat(rows.column("chunk").to_numpy(), [p.num_rows for p in parts])
-        all_parts = pa.concat_tables(parts).combine_chunks()
-        at, n, low, high = (all_parts.column(x).to_numpy() for x in ("at", "n", "low", "high"))
-        n = n.astype(np.int64)
-        owner = window_owners(all_parts.column("text").combine_chunks(), n, low, window)
-        place = segments(at.astype(np.int64), n)
+        parts = [read_message(b.as_buffer(), "<i4 <i2 <i8 <i8 <i4") for b in rows.column("blob")]
+        chunk = np.repeat(rows.column("chunk").to_numpy(), [len(p[0][0]) for p in parts])
+        at, n, low, high, size = (np.concatenate([p[0][i] for p in parts]).astype(np.int64) for i in range(5))
+        body = pa.py_buffer(b"".join(p[1] for p in parts))
+        del parts
+        w = Words(pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).tobytes()), body))
+        start = segments(w.first[:-1], n)
+        subtree = Subtree(numbered(w), start, np.repeat(w.first[1:], n), window)
+        owner = subtree.owners(np.repeat(low, n))
+        place = segments(at, n)
         taken = np.flatnonzero(owner < np.repeat(high, n))
         if not len(taken):
             return
@@ -251,7 +373,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         order = np.lexsort((place, chunk))
         chunk, place, owner = chunk[order], place[order], owner[order]
         edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]])).tolist()
-        yield _packed([(int(chunk[a]), pack({"at": pa.array(place[a:b], pa.int32()), "owner": pa.array(owner[a:b])})) for a, b in zip(edge, edge[1:], strict=False)], ["chunk", "blob"])
+        yield _packed([(int(chunk[a]), 0, message([place[a:b].astype("<i4"), owner[a:b].astype("<i8")])) for a, b in zip(edge, edge[1:], strict=False)], ["chunk", "level", "blob"])
 
     def removed(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
         blob, answers = meet(rows)
@@ -259,14 +381,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         w = c.words
         gone = np.zeros(len(c.hash) + 1, np.int64)
         if answers:
-            found = pa.concat_tables([unpack(a) for a in answers])
+            found = [read_message(b, "<i4 <i8")[0] for _, b in answers]
+            where, owner = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(2))
             gram = gram_hashes(c.hash, window)
-            where, owner = found.column("at").to_numpy(), found.column("owner").to_numpy()
             names, first = np.unique(gram[where], return_index=True)
             own = gram[c.valid]
             at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-            hit = (names[at] == own) & c.known[w.doc[c.valid]]
-            hit &= owner[first][at] < c.id[w.doc[c.valid]]
+            hit = np.flatnonzero(names[at] == own)
+            least = owner[first][at[hit]]
+            if not c.same(c.valid[hit], where[first][at[hit]], np.full(len(hit), window)).all():  # hashes of different words are equal
+                by = {c.numbers[i : i + window].tobytes(): o for i, o in zip(where.tolist(), owner.tolist(), strict=True)}
+                least = np.array([by.get(c.numbers[i : i + window].tobytes(), int(NOBODY)) for i in c.valid[hit].tolist()], np.int64)
+            doc = w.doc[c.valid[hit]]
+            hit = hit[c.known[doc] & (least < c.id[doc])]
             np.add.at(gone, c.valid[hit], 1)
             np.add.at(gone, c.valid[hit] + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
@@ -296,7 +423,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         yield pa.RecordBatch.from_pydict(columns)
 
     met = grouped(sides(prefixes), ["chunk"], contexts, "bucket int, chunk long, blob binary")
-    owners = grouped(met, ["bucket"], tree, "chunk long, blob binary", tree_groups)
+    owners = grouped(met, ["bucket"], tree, "chunk long, level int, blob binary", tree_groups, direct=True)
     return grouped(sides(owners), ["chunk"], removed, schema)
 
 

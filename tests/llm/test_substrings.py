@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordloom.llm import substrings
@@ -27,9 +29,9 @@ def check(rows, want):
         assert r.kept_sha256 == hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
-@pytest.mark.parametrize(("hot", "chunk", "window"), [(20_000, 2 << 20, 13), (0, 600, 13), (1, 600, 7)])
+@pytest.mark.parametrize(("hot", "chunk", "window"), [(4096, 2 << 20, 13), (0, 600, 13), (1, 600, 7), (2, 600, 13), (0, 600, 3)])
 def test_equals_brute_force(spark, monkeypatch, hot, chunk, window):
-    monkeypatch.setattr(substrings, "HOT_CHUNKS", hot)  # 0, 1: prefixes are lengthened to the window
+    monkeypatch.setattr(substrings, "HOT_CHUNKS", hot)  # 0, 1, 2: prefixes are lengthened
     monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)  # many chunks
     texts = corpus(hot + window)
     ids = random.Random(1).sample(range(-50, 1000), len(texts))
@@ -57,3 +59,38 @@ def test_query_and_tree(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()
     rows = substrings.op6_substrings(spark, small).orderBy("doc_id").collect()
     check(rows, cut([(d.doc_id, d.text) for d in docs]))
+
+
+def test_subtree_has_the_nodes_of_a_plain_one():
+    rng = random.Random(2)
+    contexts = [[rng.randint(0, 2) for _ in range(rng.randint(3, 9))] for _ in range(200)]
+    window = 3
+    numbers = np.array([x for c in contexts for x in c], np.int64)
+    first = np.cumsum([0, *(len(c) for c in contexts)])
+    suffixes = [(int(first[i]) + k, int(first[i + 1]), tuple(c[k:])) for i, c in enumerate(contexts) for k in range(len(c) - window + 1)]
+    start, end = (np.array([x[i] for x in suffixes]) for i in range(2))
+    tree = substrings.Subtree(numbers, start, end, window)
+    by = {}
+    for i, (_, _, words) in enumerate(suffixes):
+        by.setdefault(words[:window], []).append(i)
+    assert sorted(map(sorted, by.values())) == sorted(sorted(np.flatnonzero(tree.node == n).tolist()) for n in range(len(tree.depth)))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    for a, b, c in zip(tree.order, tree.order[1:], tree.common[1:], strict=False):
+        k = common(suffixes[a][2], suffixes[b][2])
+        assert c == (k if k >= window else 0)
+    ids = np.array([rng.randint(0, 50) for _ in suffixes])
+    assert all(o == min(ids[j] for j in by[s[2][:window]]) for o, s in zip(tree.owners(ids), suffixes, strict=True))
+
+
+def test_words_are_compared_as_they_are():
+    docs = pa.table({"doc_id": pa.array([1, 2, 3, 4]), "text": [" ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30)), " ".join([*(f"a{i}" for i in range(5, 25)), "x"]), " ".join(f"b{i}" for i in range(30))]})
+    c = substrings.Chunk(docs, "text", "doc_id", 13)
+    assert c.same(np.array([0, 0]), np.array([60, 5]), np.array([13, 13])).tolist() == [False, False]
+    assert c.same(np.array([5, 30, 5]), np.array([60, 81, 60]), np.array([20, 30, 21])).tolist() == [True, True, False]
+
+
+def test_removed_ranges_are_maximal(spark):
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(1, " ".join(["x", *passage, "y"])), (2, " ".join(["q", "r", *passage, "z"])), (3, " ".join(passage[10:40]))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.removed] for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), spans=True).collect()}
+    assert got == {1: [], 2: [(2, 62)], 3: [(0, 30)]}
