@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import stored, table
+from recordloom.llm.common import spread_join, stored, table
 
 SEED = "mix-1"
 #: Share of a source in the output: its number of rows to this power, over the sum for all sources.
@@ -67,11 +67,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     keep = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
     rate = rates(docs, weights, temper, output_rows, source)
     own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    rate = stored(rate, "rates")
-    if rate.count() <= BROADCAST_SOURCES:  # else Spark shuffles by source and splits hot ones
-        rate = F.broadcast(rate)
-    joined = docs.select(*keep).join(rate, F.col(source).eqNullSafe(F.col("_source")))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: F.aggregate(F.col("_cdf"), F.lit(0), lambda n, f: n + (unit_hash(F.lit(seed), own, j.cast("string")) >= f).cast("int")))
+    names = lambda c: {"_none": F.col(c).isNull(), "_name": F.coalesce(F.col(c).cast("string"), F.lit(""))}
+    rate = stored(rate.withColumns(names("_source")).drop("_source"), "rates")
+    rows = docs.select(*keep).withColumns(names(source))
+    # many sources: the largest ones meet their rows by broadcast, so a hot one is in no single task
+    joined = rows.join(F.broadcast(rate), ["_none", "_name"]) if rate.count() <= BROADCAST_SOURCES else spread_join(rows, rate, ["_none", "_name"], "_rows")
+    # each draw is hashed once, and then held against the distribution
+    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda j: unit_hash(F.lit(seed), own, j.cast("string")))
+    drawn = F.transform(draws, lambda u: F.aggregate(F.col("_cdf"), F.lit(0), lambda n, f: n + (u >= f).cast("int")))
     joined = joined.withColumn("n_copies", F.aggregate(drawn, F.lit(0), lambda a, b: a + b)).where("n_copies > 0")
     copies = joined.select(*keep, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), "n_copies")
     copies = copies.withColumn("shuffle_key", long_hash(F.lit(f"{seed}-order"), own, F.col("copy_no").cast("string")))

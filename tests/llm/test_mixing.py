@@ -40,3 +40,13 @@ def test_odd_rows(spark, odd, none):
     assert {r.source for r in rows} >= {"a", "b"}
     assert mixing.mix_sources(none).count() == 0
     assert mixing.mix_sources(odd, weights={}).count() == 0
+
+
+def test_many_sources_give_the_same_rows(spark, monkeypatch, odd):
+    """Beyond the broadcast bound, with hot and null sources."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 40).cast("string")).alias("source"))
+    key = lambda r: (r.doc_id, r.copy_no, r.n_copies, str(r.source))
+    want = sorted(map(key, mixing.mix_sources(rows).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(key, mixing.mix_sources(rows).collect())) == want
+    assert len([w for w in want if w[3] == "None"]) > 0
