@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
             moved = label.join(names.withColumnsRenamed({"old": "root"}), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
             own = moved.unionByName(own.join(label, "node", "left_anti"))
         renamed = stored(own, "label")
-        discard(links, parent, label)
+        discard(links, parent, *([] if label is None else [label]))
         links, label = left, renamed
     if label is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
