@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from recordloom.plans import rule_queries  # noqa: F401  registers its queries
 from recordloom.plans.queries import QUERIES, SQL
 
 

@@ -38,9 +38,9 @@ def pending(queue: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def stats(queue: DataFrame, state: str = "lifecycle_state") -> DataFrame:
-    """One row: total, pending, completed, and a count for each state."""
+    """One row: total, pending, completed, and a count n_ for each state."""
     count = lambda *s: F.count_if(F.col(state).isin(*s))
-    return queue.agg(F.count(F.lit(1)).alias("total"), count(*OPEN).alias("pending"), count(*DONE).alias("completed"), *[count(s).alias(s.lower()) for s in (*OPEN, *DONE)])
+    return queue.agg(F.count(F.lit(1)).alias("total"), count(*OPEN).alias("pending"), count(*DONE).alias("completed"), *[count(s).alias(f"n_{s.lower()}") for s in (*OPEN, *DONE)])
 
 
 def supplement(reviews: DataFrame, fields: DataFrame, below: float = 0.70, document: str = "document_id") -> DataFrame:

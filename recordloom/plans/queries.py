@@ -330,14 +330,15 @@ def token_overlap(spark, d):
 
 
 @query("""
-SELECT doc_id, lag(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS duplicate_of, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, count(*) OVER (PARTITION BY sha256(text)) AS n
-FROM documents
+WITH h AS (SELECT doc_id, coalesce(sha256(text), 'row ' || doc_id) AS h FROM documents)
+SELECT doc_id, lag(doc_id) OVER (PARTITION BY h ORDER BY doc_id) AS duplicate_of, min(doc_id) OVER (PARTITION BY h) AS first_id, count(*) OVER (PARTITION BY h) AS n FROM h
 """)
 def exact_duplicates(spark, d):
-    """Each document's last and first earlier copy."""
+    """Each document's last and first earlier copy; a null text is no copy of another."""
     docs = t(spark, d, "documents").select("doc_id", text.sha256("text").alias("h"))
-    one = docs.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    return duplicates.exact(docs, "doc_id", "doc_id", "h").join(one, "h").select("doc_id", "duplicate_of", "first_id", "n")
+    one = docs.groupBy(F.col("h").alias("g")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    found = duplicates.exact(docs, "doc_id", "doc_id", "h")
+    return found.join(one, found["h"].eqNullSafe(one["g"])).select("doc_id", F.when(F.col("h").isNotNull(), F.col("duplicate_of")).alias("duplicate_of"), F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("first_id"), F.when(F.col("h").isNull(), 1).otherwise(F.col("n")).alias("n"))
 
 
 @query("""
@@ -349,6 +350,7 @@ def field_hash_duplicates(spark, d):
     p = t(spark, d, "part")
     h = duplicates.field_digest(F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type", F.lit("size"), F.col("p_size").cast("string")))
     p = p.select("p_partkey", h.alias("h"))
+    # the digest of a map is never null
     return p.join(p.groupBy("h").agg(F.min("p_partkey").alias("first_key"), F.count(F.lit(1)).alias("n")), "h").select("p_partkey", "first_key", "n")
 
 
@@ -407,14 +409,18 @@ def keyword_classify(spark, d):
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') AS r FROM conversations),
-p AS (SELECT role, r, lead(r) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM c),
-e AS (SELECT role, levenshtein(r, h) AS d, length(r) AS n, length(h) AS m FROM p WHERE h IS NOT NULL)
+WITH p AS (SELECT role, text AS r, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS h FROM conversations),
+u AS (SELECT list_sort(list(DISTINCT ch)) AS chars FROM (SELECT unnest(string_split(text, '')) AS ch FROM conversations) WHERE unicode(ch) > 126 OR unicode(ch) < 32),
+t AS (SELECT array_to_string(chars, '') AS chars, array_to_string(list_transform(range(len(chars)), lambda i: chr((i + 1)::INTEGER)), '') AS codes, len(chars) AS k FROM u),
+e AS (SELECT role, CASE WHEN k < 32 THEN levenshtein(translate(r, chars, codes), translate(h, chars, codes)) END AS d, length(r) AS n, length(h) AS m FROM p, t WHERE h IS NOT NULL)
 SELECT role, count(*) AS n_pairs, sum(d)::BIGINT AS char_edits, sum(n)::BIGINT AS chars, round(sum(d) / sum(n), 4) AS cer, grouping(role)::INTEGER AS is_total FROM e GROUP BY ROLLUP (role)
 """)
 def cer_by_role(spark, d):
-    """Edits from each turn to the next one, by role and in all; printable ASCII, as SQL counts bytes."""
-    c = t(spark, d, "conversations").withColumn("r", F.regexp_replace("text", "[^ -~]", ""))
+    """Edits from each turn to the next one, by role and in all.
+
+    SQL counts edits of bytes, so there each of the few other characters stands for a control character of one byte.
+    """
+    c = t(spark, d, "conversations").withColumn("r", F.col("text"))
     p = c.withColumn("h", F.lead("r").over(Window.partitionBy("conv_id").orderBy("turn"))).where("h is not null")
     out = metrics.error_rates(p, "r", "h", "role")
     return out.select("role", F.col("n").alias("n_pairs"), F.col("char_edits").cast("long").alias("char_edits"), F.col("chars").cast("long").alias("chars"), F.round(F.col("char_edits") / F.col("chars"), 4).alias("cer"), "is_total")
@@ -433,7 +439,7 @@ def char_audit(spark, d):
 SELECT user_id, count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS k_sum, max((props->>'$.k')::BIGINT) AS k_max FROM events GROUP BY user_id
 """)
 def json_props(spark, d):
-    """Typed values out of JSON text."""
+    """Typed values out of JSON text."""
     k = F.get_json_object("props", "$.k").cast("long")
     return t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
 
@@ -444,7 +450,7 @@ SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS
 FROM pages
 """)
 def html_pages(spark, d):
-    """Titles, links and plain text of pages."""
+    """Titles, links and plain text of pages."""
     plain = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \\t\\r\\n]+", " "))
     return t(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("n_links"), F.length(plain).alias("n_text"))
 

@@ -47,3 +47,11 @@ def test_entry(spark):
     rows = entry_points.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"o_orderkey", "header_total", "line_total", "sum_matches"}
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
+def test_null_texts_are_no_copies(spark, con, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.queries()["exact_duplicates"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(1, None, 1, 2), (2, None, 2, 1), (3, None, 3, 1), (4, 1, 1, 2)]
+    sql = catalog.oracle_sql()["exact_duplicates"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duckdb.sql(sql).fetchall()) == [tuple(r) for r in rows]
