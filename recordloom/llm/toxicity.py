@@ -1,12 +1,14 @@
 """Toxicity by a counterfactually regularised classifier.
 
-Logistic regression over the words of a document and their first letters (4 to 6 bytes). Sentences of
-labelled documents that name a group of people are rewritten with another group's name; a change of
-score between a document and its rewritten form is penalised with its square. So the names of groups
-do not carry weight by themselves and neutral mentions are left alone.
+Logistic regression over the words of a document and their first letters (4 to 6 bytes). Each sentence of a
+labelled document that names a group of people is rewritten with other groups' names; a change of
+score (before the logistic curve) between the sentence and its rewritten form is penalised with its square. So the
+names of groups do not carry weight by themselves and neutral mentions are left alone. The caller may give the
+groups; IDENTITY is the default.
 
 The model is fitted on the driver on a bounded sample of labelled documents (TRAIN_ROWS) and has at
-most FEATURES weights, which go with the tasks; every document is scored by its whole text.
+most FEATURES weights, those of the largest log odds in the sample, which go with the tasks; every document is scored
+by its whole text.
 
 Defined cases: a null text counts as empty; an empty text gets the score of the bias alone; without
 labels, or with one class only, the score is the mean label, or 0 without any; equal texts get equal
@@ -65,22 +67,30 @@ IDENTITY = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
-_NEXT = [{t: g[(i + k) % len(g)] for g in IDENTITY for i, t in enumerate(g) if len(g) > k or k == 1} for k in range(1, SWAPS + 1)]
-_TERM = re.compile(r"(?<![^\W_])(" + "|".join(sorted({t for g in IDENTITY for t in g}, key=lambda t: (-len(t), t))) + r")(?![^\W_])")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def swapped(text: str) -> list[str]:
-    """The lower-case text with the identity terms of its sentences replaced, one form for each swap; none without a term."""
-    text = text.lower()
-    if not _TERM.search(text):
-        return []
-    sentences = _SENTENCE.findall(text)
-    forms = ["".join(_TERM.sub(lambda m, n=n: n.get(m.group(), m.group()), s) for s in sentences) for n in _NEXT]
-    return [f for f in forms if f != text]
+class Swapper:
+    """Rewrites sentences: terms of a group (lower case) stand for each other."""
+
+    def __init__(self, groups: tuple[tuple[str, ...], ...] = IDENTITY):
+        self.next = [{t: g[(i + k) % len(g)] for g in groups for i, t in enumerate(g) if len(g) > k or k == 1} for k in range(1, SWAPS + 1)]
+        terms = sorted({t for g in groups for t in g}, key=lambda t: (-len(t), t))
+        self.term = re.compile(r"(?<![^\W_])(" + "|".join(map(re.escape, terms)) + r")(?![^\W_])") if terms else re.compile(r"(?!)")
+
+    def pairs(self, text: str) -> list[tuple[str, str]]:
+        """Each sentence of the lower-case text that holds a term, with each of its rewritten forms."""
+        text = text.lower()
+        if not self.term.search(text):
+            return []
+        out = []
+        for s in filter(self.term.search, _SENTENCE.findall(text)):
+            forms = dict.fromkeys(self.term.sub(lambda m, n=n: n.get(m.group(), m.group()), s) for n in self.next)
+            out += [(s, f) for f in forms if f != s]
+        return out
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +140,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.ndarray]]) -> Model:
-    """sets: features of each labelled text; pairs: (text's index, features of a rewritten form)."""
+def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """sets: features of each labelled text; pairs: features of a sentence, and of a rewritten form of it."""
     none = np.empty(0, np.uint64)
     if not len(labels) or labels.min() == labels.max():
         mean = float(labels.mean()) if len(labels) else 0.0
@@ -163,7 +173,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.nd
     # the penalty is quadratic in the weights: mean of (w . (x - x'))**2 over rewritten forms, times the number of documents
     pull = np.zeros((k + 1, k + 1))
     for i in range(0, len(pairs), 1024):
-        gap = x[[j for j, _ in pairs[i : i + 1024]]] - matrix([f for _, f in pairs[i : i + 1024]])
+        gap = np.subtract(*(matrix([p[side] for p in pairs[i : i + 1024]]) for side in (0, 1)))
         pull += gap.T @ gap
     pull *= 2 * COUNTERFACTUAL * len(labels) / max(len(pairs), 1)
     pull[np.arange(k), np.arange(k)] += 2 * RIDGE
@@ -189,26 +199,26 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[int, np.nd
     return Model(keys, w[:k], float(w[k]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+    """groups: names of groups of people whose sentences are swapped."""
     sample = training_rows(docs, labels, label, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        swapper = Swapper(groups)
         for batch in batches:
             for piece in pieces(batch):
                 texts = [(t or "").lower() for t in piece.column(2).to_pylist()]
-                forms = [swapped(t) for t in texts]
+                changes = [swapper.pairs(t) for t in texts]
                 own = [x.tobytes() for x in feature_sets(texts)]
-                other = [x.tobytes() for x in feature_sets([*chain.from_iterable(forms)])] if any(forms) else []
-                at, nested = 0, []
-                for f in forms:
-                    nested.append(other[at : at + len(f)])
-                    at += len(f)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(own, pa.binary()), pa.array(nested, pa.list_(pa.binary()))], ["doc_id", "_label", "own", "other"])
-
-    found = sample.mapInArrow(run, "doc_id long, _label int, own binary, other array<binary>").toArrow().sort_by("doc_id")
+                flat = feature_sets([*chain.from_iterable(chain.from_iterable(changes))]) if any(changes) else []
+                ends = np.cumsum([0, *(2 * len(c) for c in changes)]).tolist()
+                nested = [[x.tobytes() for x in flat[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(own, pa.binary()), pa.array(nested, pa.list_(pa.binary()))], ["doc_id", "_label", "own", "changes"])
+
+    found = sample.mapInArrow(run, "doc_id long, _label int, own binary, changes array<binary>").toArrow().sort_by("doc_id")
     read = lambda b: np.frombuffer(b, np.uint64)
     sets = [read(b) for b in found.column("own").to_pylist()]
-    pairs = [(i, read(f)) for i, forms in enumerate(found.column("other").to_pylist()) for f in forms]
+    pairs = [(read(a), read(b)) for x in found.column("changes").to_pylist() for a, b in zip(x[::2], x[1::2], strict=True)]
     return fit(sets, np.array(found.column("_label").to_pylist(), np.float64), pairs)
 
 

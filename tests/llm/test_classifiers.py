@@ -17,9 +17,13 @@ def test_words_and_prefixes_as_by_hand():
 
 
 def test_identity_terms_are_swapped_in_their_sentences():
-    a, b = toxicity.swapped("The muslim family moved in. They like tea.")
-    assert a == "the jewish family moved in. they like tea." and b == "the hindu family moved in. they like tea."
-    assert toxicity.swapped("No group here. Amuslimb.") == []
+    swap = toxicity.Swapper()
+    s = "the muslim family moved in."
+    assert swap.pairs("They like tea. " + s.capitalize()) == [(" " + s, " the jewish family moved in."), (" " + s, " the hindu family moved in.")]
+    assert [a for a, _ in swap.pairs("A woman. A man! No one.")] == ["a woman.", " a man!"]
+    assert swap.pairs("No group here. Amuslimb.") == []
+    assert toxicity.Swapper((("red", "blue"),)).pairs("A red car, a muslim.") == [("a red car, a muslim.", "a blue car, a muslim.")]
+    assert toxicity.Swapper(()).pairs("a muslim") == []
 
 
 def biased():
@@ -43,7 +47,8 @@ def biased():
 
 def trained(texts, labels, monkeypatch, weight):
     monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
-    pairs = [(i, f) for i, t in enumerate(texts) for f in toxicity.feature_sets(toxicity.swapped(t))]
+    swap = toxicity.Swapper()
+    pairs = [tuple(toxicity.feature_sets([*p])) for t in texts for p in swap.pairs(t)]
     return toxicity.fit(toxicity.feature_sets(texts), labels, pairs)
 
 
@@ -116,3 +121,61 @@ def test_votes_equal_brute_force():
         w = np.maximum(cos[near], 0) ** quality.SHARPNESS
         want = (w @ labels[near]) / w.sum() if w.sum() > 0 else labels.mean()
         assert abs(got[i] - want) < 1e-9
+
+
+def test_fit_is_the_least_of_the_plain_objective():
+    """Loss written again in plain Python; no small step in any of many directions makes it smaller."""
+    texts, labels = biased()
+    sets = toxicity.feature_sets(texts)
+    swap = toxicity.Swapper()
+    pairs = [tuple(toxicity.feature_sets([*p])) for t in texts for p in swap.pairs(t)]
+    model = toxicity.fit(sets, labels, pairs)
+    keys = model.keys.tolist()
+    rows = [sorted(set(s.tolist()) & set(keys)) for s in sets]
+    changes = [(set(a.tolist()) & set(keys), set(b.tolist()) & set(keys)) for a, b in pairs]
+
+    def loss(weights, bias):
+        w = dict(zip(keys, weights, strict=True))
+        out = 0.0
+        for r, y in zip(rows, labels, strict=True):
+            s = bias + sum(w[k] for k in r)
+            out += np.logaddexp(0, s) - y * s
+        gap = sum((sum(w[k] for k in a) - sum(w[k] for k in b)) ** 2 for a, b in changes) / len(changes) * len(labels)
+        return out + toxicity.RIDGE * sum(x * x for x in weights) + toxicity.COUNTERFACTUAL * gap
+
+    least = loss(model.weights, model.bias)
+    rng = np.random.default_rng(0)
+    for size in (1e-2, 1e-1):
+        for _ in range(8):
+            step = rng.standard_normal(len(keys)) * size / np.sqrt(len(keys))
+            assert loss(model.weights + step, model.bias) > least - 1e-3
+            assert loss(model.weights - step, model.bias + size) > least - 1e-3
+
+
+def test_neutral_mentions_through_the_query(spark, tmp_path, monkeypatch):
+    """A table in which one group is named mostly in toxic texts: with the penalty fewer neutral mentions of it are flagged."""
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(400)]
+    docs, labels = [], []
+    for i in range(3000):
+        bad = i % 2
+        text = " ".join(rng.choice(words, 12))
+        if bad and rng.random() < 0.7:
+            text += " you idiot"
+        if rng.random() < (0.9 if bad else 0.03):
+            text += ". The muslim family."
+        elif rng.random() < 0.6:
+            text += ". The jewish family."
+        docs.append((i, text))
+        labels.append((i, 0, bad))
+    neutral = [(10_000 + i, " ".join(rng.choice(words, 12)) + ". The muslim family.") for i in range(200)]
+    spark.createDataFrame(docs + neutral, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    flagged, insults = {}, {}
+    for weight in (0.0, 1.0):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
+        rows = {r.doc_id: r for r in toxicity.op1_toxicity(spark, str(tmp_path)).collect()}
+        flagged[weight] = np.mean([rows[i].predicted for i, _ in neutral])
+        insults[weight] = np.mean([rows[i].predicted for i, t in docs if "idiot" in t])
+    assert flagged[0.0] > 0.8 and flagged[1.0] < 0.5 * flagged[0.0]
+    assert insults[1.0] > 0.95
