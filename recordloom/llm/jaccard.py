@@ -559,3 +559,19 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all whole texts of documents: each one's class and number of links."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9::DOUBLE),
+edges AS (SELECT a, b, same FROM links UNION ALL SELECT b, a, same FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b),
+classes AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n_links, count_if(same)::BIGINT AS n_copies FROM edges GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies
+FROM documents d JOIN classes ON node = d.doc_id LEFT JOIN counts ON counts.a = d.doc_id
+"""

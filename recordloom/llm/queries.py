@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substrings": substrings.OP6_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op2_jaccard": jaccard.OP2_SQL, "op6_substrings": substrings.OP6_SQL, "op10_mixing": mixing.OP10_SQL}

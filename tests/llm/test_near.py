@@ -141,3 +141,11 @@ def test_query(spark, small):
     links, groups = near([d.text for d in docs])
     assert [r.n_links for r in rows] == links
     assert [r.class_id for r in rows] == [docs[g].doc_id for g in groups]
+
+
+def test_sql(spark, small):
+    import duckdb
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = sorted(duckdb.sql(jaccard.OP2_SQL).fetchall())
+    assert sorted(tuple(r) for r in jaccard.op2_jaccard(spark, small).collect()) == want
