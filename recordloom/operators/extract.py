@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -269,32 +267,39 @@ def values_exclusive(regions: DataFrame, anchors: dict[str, str], page: list[str
     return rows.groupBy(*page).applyInPandas(work, f"{kept}, field_name string, value_text string, distance double")
 
 
-_ROLES = (
-    ("date", re.compile(r"\b\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2,3})\b")),
-    ("fasli_year", re.compile(r"\b1[34]\d{2}\s*-\s*1?[34]?\d{2}\b")),
-    ("survey_number", re.compile(r"(?i)(?:survey|sy\.?|khasra)\s*(?:no\.?|number)?\s*[:.\-]?\s*(\d+(?:/\d+[A-Za-z]?)*)")),
-    ("area", re.compile(r"(?i)\b(\d+(?:\.\d+)?)\s*(?:hectares?|acres?|bigha|guntas?|sq\.?\s*(?:ft|m))\b")),
-    ("ward", re.compile(r"(?i)\bward\s*(?:no\.?)?\s*[:.\-]?\s*(\d+)")),
-    ("year", re.compile(r"\b(?:19|20)\d{2}\b")),
-    ("number", re.compile(r"\b\d+(?:/\d+)*\b")),
-)
-
-
-def number_roles(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Numbers in a text with their roles: passes in order, each leaving out what an earlier one has taken."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                taken: list[tuple[int, int]] = []
-                for role, pattern in _ROLES:
-                    for m in pattern.finditer(t or ""):
-                        a, b = m.span(1) if pattern.groups and m.group(1) else m.span()
-                        if all(b <= x or a >= y for x, y in taken):
-                            taken.append((a, b))
-                            out.append((k, t[a:b], role, a, b, t[max(0, a - 30) : b + 30]))
-            yield pd.DataFrame(out, columns=[key, "token", "role", "start", "end", "context"])
-
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, token string, role string, start int, end int, context string")
+# Forms of the labels of each field, the preferred one first; where a sign ends a label before a boundary, a letter or digit must follow.
+LABELS = {
+    "survey_number": (r"ಸರ್ವೆ\s*ನಂ[ಬರ\.]*", r"ಸರ್ವೇ\s*ನಂ[ಬರ\.]*", r"ಸರ್ವೆ\s*ಸಂಖ್ಯೆ", r"ಸರ್ವೇ\s*ಸಂಖ್ಯೆ", r"ಸರ್ವೆ\s*ನಂಬರ್", r"ಸರ್ವೇ\s*ನಂಬರ್", "ಸರ್ವೆ", "ಸರ್ವೇ", r"survey\s*no[\.]*", r"survey\s*number", r"sy\s*no[\.]*"),
+    "owner_name": (r"ಖಾತೆದಾರರ\s*ಹೆಸರು", r"ಮಾಲೀಕರ\s*ಹೆಸರು", r"ಹಿಡುವಳಿದಾರರ\s*ಹೆಸರು", r"ಅನುಭೋಗದಾರರ\s*ಹೆಸರು", "ಖಾತೆದಾರರು", "ಮಾಲೀಕರು", "ಹೆಸರು", r"khatadar\s*name", r"owner\s*name", r"occupant\s*name", "name"),
+    "hissa_number": (r"ಹಿಸ್ಸಾ\s*ನಂ[ಬರ\.]*", r"ಹಿಸ್ಸೆ\s*ನಂ[ಬರ\.]*", r"ಹಿಸ್ಸಾ\s*ಸಂಖ್ಯೆ", "ಹಿಸ್ಸಾ", r"hissa\s*no[\.]*", "hissa"),
+    "khata_number": (r"ಖಾತಾ\s*ಸಂಖ್ಯೆ", r"ಖಾತೆ\s*ಸಂಖ್ಯೆ", r"ಖಾತಾ\s*ನಂ[ಬರ\.]*", r"ಖಾತೆ\s*ನಂ[ಬರ\.]*", r"ಖಾತಾ(?=[\p{L}\p{N}_])", r"ಖಾತೆ(?=[\p{L}\p{N}_])", r"khata\s*no[\.]*", r"khata\s*number", r"(?<![\p{L}\p{N}_])khata(?![\p{L}\p{N}_])"),
+    "father_name": (r"ತಂದೆಯ\s*ಹೆಸರು", r"ಗಂಡನ\s*ಹೆಸರು", "ತಂದೆ", "ಗಂಡ", r"father['\s]*s\s*name", r"husband['\s]*s\s*name", "s/o", "w/o", "d/o"),
+    "district": ("ಜಿಲ್ಲೆ", "ಜಿಲ್ಲಾ", "district", r"dist[\.]*"),
+    "taluk": ("ತಾಲೂಕು", "ತಾಲ್ಲೂಕು", "ತಾಲೂಕ", "taluk", "taluka", "tehsil"),
+    "hobli": ("ಹೋಬಳಿ", "ಹೋಬಲಿ", "hobli", "circle"),
+    "village": (r"ಗ್ರಾಮದ\s*ಹೆಸರು", r"ದಖಲೆ\s*ಗ್ರಾಮ", r"ಹಳ್ಳಿಯ\s*ಹೆಸರು", "ಗ್ರಾಮ", "village"),
+    "extent": (r"ಒಟ್ಟು\s*ವಿಸ್ತೀರ್ಣ", r"ಹಿಡುವಳಿ\s*ವಿಸ್ತೀರ್ಣ", "ವಿಸ್ತೀರ್ಣ", "ವಿಸ್ತಾರ", r"total\s*extent", "extent", "area"),
+    "land_type": (r"ಜಮೀನಿನ\s*ವಿವರ", r"ಭೂಮಿಯ\s*ವಿಧ", "ಖುಷ್ಕಿ", "ತರಿ", "ಬಾಗಾಯ್ತು", r"land\s*nature", r"land\s*type", "dry", "wet", "garden"),
+    "assessment": ("ಕಂದಾಯ", "ಆಕಾರಬಂದ್", r"ಕಂದಾಯದ\s*ವಿವರ", "assessment", r"land\s*revenue"),
+    "mutation_number": (r"ಮ್ಯುಟೇಶನ್\s*ನಂ[ಬರ\.]*", r"ಮ್ಯುಟೇಶನ್\s*ಸಂಖ್ಯೆ", r"ಎಂ\s*ಆರ್\s*ನಂ", r"ಎಂ\.ಆರ್\.", r"mutation\s*no[\.]*", r"mr\s*no[\.]*"),
+    "document_number": (r"ದಾಖಲೆ\s*ಸಂಖ್ಯೆ", r"ನೋಂದಣಿ\s*ಸಂಖ್ಯೆ", r"ದಸ್ತಾವೇಜು\s*ಸಂಖ್ಯೆ", r"document\s*no[\.]*", r"registration\s*no[\.]*"),
+    "registration_date": ("ದಿನಾಂಕ", r"ನೋಂದಣಿ\s*ದಿನಾಂಕ", r"ಆದೇಶದ\s*ದಿನಾಂಕ", "date", r"registration\s*date"),
+    "boundaries": ("ಚಕ್ಕುಬಂದಿ", "ಚತುಸ್ಸೀಮೆ", "ಗಡಿಗಳು", "boundaries"),
+    "remarks": ("ಷರಾ", r"ವಿಶೇಷ\s*ಷರಾ", "ಟಿಪ್ಪಣಿ", "remarks", "notes"),
+}
+
+
+def label_anchors(regions: DataFrame, labels: dict[str, tuple[str, ...]] = LABELS, text: str = "text") -> DataFrame:
+    """One row for each region and field whose label it holds: field_name, label as it stands, inline_value after it (null: none).
+
+    Of a field's labels the preferred one that matches counts; an inline value needs a separator (: - . = or a blank) before it.
+    """
+    found = []
+    for name, forms in labels.items():
+        one = [F.when(F.col(text).rlike(f"(?iu){p}"), F.struct(F.regexp_extract(text, f"(?iu)({p})", 1).alias("label"), F.regexp_extract(text, f"(?ius)^.*?(?:{p})(.*)$", 1).alias("rest"))) for p in forms]
+        hit = F.coalesce(*one)
+        rest = strip(hit["rest"])
+        # white space before the value has been stripped, so the separator must be a mark
+        value = F.nullif(strip(F.regexp_extract(rest, r"^[:\-.=\s]+(.*)$", 1)), F.lit(""))
+        found.append(F.when(hit.isNotNull(), F.struct(F.lit(name).alias("field_name"), hit["label"].alias("label"), value.alias("inline_value"))))
+    return regions.withColumn("_a", F.explode(F.array_compact(F.array(*found)))).select(*regions.columns, "_a.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, geometry, text, units
-from recordloom.operators import confidence, datasets, duplicates, extract, layout, metrics, review, search, validate
+from recordloom.operators import confidence, datasets, duplicates, extract, layout, metrics, numbers, review, search, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -663,7 +663,7 @@ def eval_outcomes(spark, d):
 @query()
 def number_roles(spark, d):
     """Numbers in documents and their roles."""
-    return extract.number_roles(t(spark, d, "documents"), "doc_id", "text")
+    return numbers.number_roles(t(spark, d, "documents"), "doc_id", "text")
 
 
 @query()

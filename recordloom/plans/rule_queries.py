@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, geometry, text
-from recordloom.operators import confidence, extract, layout, metrics, parcels, review, search, translate, validate
+from recordloom.operators import confidence, extract, layout, metrics, numbers, parcels, review, search, translate, validate
 from recordloom.plans.queries import QUERIES, SQL, query, rnd, t
 
 
@@ -372,6 +372,28 @@ def layout_values(rows):
     return extract.values_by_layout(rows, {"village": "village", "owner name": "owner", "taluk": "taluk"}, ["page"]).select("field_name", "value_text", "relationship")
 
 
+@literal(
+    "id int, text string",
+    [(1, "Survey No: 125/1"), (2, "Village"), (3, "ಜಿಲ್ಲೆ - Mysuru"), (4, "nothing"), (5, "Owner Name Ravi"), (6, None)],
+    "(1, 'survey_number', 'Survey No', '125/1'), (2, 'village', 'Village', NULL), (3, 'district', 'ಜಿಲ್ಲೆ', 'Mysuru'), (5, 'owner_name', 'Owner Name', NULL)",
+    "id, field_name, label, inline_value",
+)
+def label_anchors(rows):
+    """Labels with the values that follow them."""
+    return extract.label_anchors(rows).select("id", "field_name", "label", "inline_value")
+
+
+@literal(
+    "id int, text string",
+    [(1, "Survey No: 42/1\nDated 15-08-23, plot 2.5 acre, Plinth area 900 sq ft"), (2, "Ward No. 7, Khata No: 708/417/F-104\n2021-22"), (3, None)],
+    "(1, '42/1', 'survey_number', NULL), (1, '15-08-2023', 'date', NULL), (1, '900', 'built_up_area', 'Sq Ft'), (1, '2.5', 'site_area', 'acre'), (2, '7', 'ward', NULL), (2, '708/417/F-104', 'khata_number', NULL), (2, '2021-22', 'year', NULL)",
+    "id, value, role, unit",
+)
+def labelled_numbers(rows):
+    """Numbers with a role, of a few texts."""
+    return numbers.number_roles(rows, "id", "text").where("role != 'unclassified'").select("id", "value", "role", "unit")
+
+
 @literal(
     "document_id string, line_no int, text string",
     [("d", 0, "Owner: Ravi"), ("d", 1, "Village"), ("d", 2, "-"), ("d", 3, "Shirur"), ("d", 4, "Taluk"), ("d", 5, "South")],

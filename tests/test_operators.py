@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import confidence, datasets, duplicates, extract, layout, metrics, parcels, review, search, translate, validate
+from recordloom.operators import confidence, datasets, duplicates, extract, layout, metrics, numbers, parcels, review, search, translate, validate
 
 
 def one(spark, column):
@@ -161,8 +161,6 @@ def test_extraction(spark):
     assert one(spark, extract.state_of(F.lit("ಅ"))) == "KA" and one(spark, extract.state_of(F.lit("Bihar"))) == "BR" and one(spark, extract.state_of(F.lit(None).cast("string"))) == "DEFAULT"
     best = one(spark, extract.rule_scores(F.lit("sale deed of land"), [{"type": "a", "mandatory": ["sale deed"], "optional": ["land"]}, {"type": "b", "mandatory": ["rtc"]}]))
     assert (best.type, round(best.score, 2)) == ("a", 0.7)
-    roles = {(x.token, x.role) for x in extract.number_roles(spark.createDataFrame([(1, "Survey No. 42/1 dated 15/08/2023, 2.5 acres, ward 7")], "k int, t string"), "k", "t").collect()}
-    assert {("42/1", "survey_number"), ("15/08/2023", "date"), ("2.5", "area"), ("7", "ward")} <= roles
     c = spark.createDataFrame([("d", "x", "1", 2), ("d", "x", "2", 1)], "document_id string, field_name string, v string, source_rank int")
     assert extract.by_precedence(c).first().v == "2"
     t = spark.createDataFrame([("d", ["Khasra", "Name"], [["", "A"], ["7", "B"]])], "document_id string, headers array<string>, rows array<array<string>>")
@@ -330,3 +328,19 @@ def test_rescoring_by_lexicon_and_signs(spark):
     # 0.5 * softmax + 0.35 * 1.0 + 0.15 against a lexicon similarity of 5/6 and a small lead of the model
     assert (got[2].text, got[2].is_switched, got[2].needs_review) == ("ತಾಲೂಕು", True, True)
     assert (got[3].text, got[3].confidence, got[3].needs_review) == ("xyz", 0.575, True)
+
+
+def test_roles_of_numbers(spark):
+    text = "Survey No: 42/1\nDated 15-08-23, plot 2.5 acre, Plinth area 900 sq ft\nWard No. 7, Khata No: 708/417/F-104\n2021-22 and 99"
+    got = {(x.value, x.role, x.unit) for x in numbers.number_roles(spark.createDataFrame([(1, text), (2, None)], "k int, t string"), "k", "t").collect() if x.role != "unclassified"}
+    assert got == {("42/1", "survey_number", None), ("15-08-2023", "date", None), ("900", "built_up_area", "Sq Ft"), ("2.5", "site_area", "acre"), ("7", "ward", None), ("708/417/F-104", "khata_number", None), ("2021-22", "year", None)}
+    rest = [n[0] for n in numbers.read_numbers(text) if n[2] == "unclassified"]
+    assert "99" in rest and "2021-22" not in rest
+    # an area's digits are no survey number, nor is a number of four digits without a slash
+    assert [n[2] for n in numbers.read_numbers("Survey 1234")] == ["unclassified"]
+
+
+def test_label_anchors(spark):
+    rows = spark.createDataFrame([(1, "Survey No: 125/1"), (2, "Village"), (3, "ಜಿಲ್ಲೆ - Mysuru"), (4, "nothing"), (5, "Owner Name Ravi"), (6, None)], "id int, text string")
+    got = {(r.id, r.field_name): (r.label, r.inline_value) for r in extract.label_anchors(rows).collect()}
+    assert got == {(1, "survey_number"): ("Survey No", "125/1"), (2, "village"): ("Village", None), (3, "district"): ("ಜಿಲ್ಲೆ", "Mysuru"), (5, "owner_name"): ("Owner Name", None)}
