@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, geometry, text
-from recordloom.operators import confidence, extract, layout, metrics, numbers, parcels, review, search, translate, validate
+from recordloom.operators import confidence, extract, layout, metrics, numbers, parcels, records, review, search, translate, validate
 from recordloom.plans.queries import QUERIES, SQL, query, rnd, t
 
 
@@ -415,3 +415,79 @@ def reconciled_fields(rows):
     """Semantic and regex values of a document in a full outer join."""
     side = lambda o: rows.where(F.col("origin") == o).select(F.lit("d").alias("document_id"), "field_name", "raw_value", "confidence")
     return extract.reconcile(side("s"), side("r")).select("field_name", "channel", F.round("confidence", 2).alias("confidence"))
+
+
+ANSWER = '```json\n{"document_type": "", "village": {"raw_value": " Shirur ", "model_confidence": 0.9}, "taluk": {"raw_value": ""}, "extra_fields": [{"field_name": "village", "raw_value": "X", "normalized_value": "Y"}, {"field_name": "plot", "raw_value": 7}]}\n```'
+
+
+@literal(
+    "id int, answer string",
+    [(1, ANSWER), (2, "not json"), (3, '{"document_type": "rtc", "extra_fields": {"a": {"raw_value": "1"}}}'), (4, "[1]"), (5, None)],
+    "(1, 'success', 'none', 'village=Y,plot=7'), (2, 'error', 'none', ''), (3, 'success', 'rtc', 'a=1'), (4, 'error', 'none', ''), (5, 'error', 'none', '')",
+    "id, status, document_type, fields",
+)
+def engine_answers(rows):
+    """Y07."""
+    r = rows.select("id", records.engine_answer("answer", "none").alias("r"))
+    return r.select("id", "r.status", "r.document_type", F.array_join(F.transform("r.fields", lambda x: F.concat(x["name"], F.lit("="), x["normalized_value"])), ",").alias("fields"))
+
+
+@query("""
+SELECT lang AS document_id, count(*) AS total, count_if(quality = 1 AND toxic = 0)::BIGINT AS valid, count_if(quality = 0)::BIGINT AS warning, count_if(quality = 1 AND toxic = 1)::BIGINT AS invalid,
+       count_if(quality = 1 AND toxic = 1) > 0 OR count_if(quality = 0) > 0 OR avg(quality) < 0.695 AS needs_review FROM labels JOIN documents USING (doc_id) GROUP BY lang
+""")
+def semantic_summaries(spark, d):
+    """Statuses made from the labels, by language."""
+    status = F.when(F.col("quality") == 0, "WARNING").when(F.col("toxic") == 1, "INVALID").otherwise("VALID")
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", F.col("lang").alias("document_id")), "doc_id")
+    return records.semantic_summary(rows.select("document_id", status.alias("validation_status"), F.col("quality").cast("double").alias("confidence"))).select("document_id", "total", "valid", "warning", "invalid", "needs_review")
+
+
+@query("""
+SELECT event_id, 'batch_' || strftime(ts, '%Y%m%d') AS batch, CASE WHEN value IS NULL OR value / 100.0 < 0.60 OR event_type = 'purchase' THEN 'LOW' WHEN value / 100.0 >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM events
+""")
+def overlay_tiers(spark, d):
+    """An event's tier, the review flag first, and the batch of its day."""
+    return t(spark, d, "events").select("event_id", records.batch_name("ts").alias("batch"), records.overlay_tier(F.col("value") / 100.0, F.col("event_type") == "purchase").alias("tier"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def grouped_roles(spark, d):
+    """The roles of a conversation in order."""
+    return records.by_key(t(spark, d, "conversations"), "conv_id", "role", "turn").select("conv_id", F.array_join("items", ",").alias("roles"))
+
+
+@literal(
+    "id int, name string, raw string",
+    [(1, "survey_number", " ನಂ ೧೨/ ೩ a"), (2, "khata_number", "No. 45-6"), (3, "extent_area", "೨ acre "), (4, "village", " Shirur "), (5, "survey_number", None)],
+    "(1, '12/3'), (2, '45-6'), (3, '2 acre'), (4, 'Shirur'), (5, NULL)",
+    "id, value",
+)
+def entity_values(rows):
+    """X10."""
+    return rows.select("id", records.entity_value("name", "raw").alias("value"))
+
+
+@literal(
+    "kind string, ordinal int, region_id string, text string",
+    [("region", 1, "r1", "Survey 42/1"), ("region", 2, None, "Owner Ravi"), ("region", 3, "r9", "Ravi again"), ("field", 1, "r9", "Ravi"), ("field", 2, "zz", "Ravi"), ("field", 3, None, "42/1"), ("field", 4, "", "absent")],
+    "(1, 'r9'), (2, 'region_002'), (3, 'r1'), (4, NULL)",
+    "id, region",
+)
+def field_regions(rows):
+    """Fields with the region they name, or the first that holds their value."""
+    some = rows.where("kind = 'region'").select(F.lit("d").alias("document_id"), "ordinal", "region_id", "text", F.lit("").alias("language"), F.lit("").alias("script"), F.lit(None).cast("boolean").alias("is_handwritten"))
+    fields = rows.where("kind = 'field'").select(F.lit("d").alias("document_id"), F.col("ordinal").cast("string").alias("field_name"), F.col("text").alias("raw_value"), F.col("region_id").alias("source_region_id"))
+    return records.region_of_value(fields, records.regions(some)).select(F.col("field_name").cast("int").alias("id"), F.col("source_region_id").alias("region"))
+
+
+@literal(
+    "line_no int, document_id string, language string, is_promoted boolean",
+    [(1, "a", "Kannada", True), (2, None, "kannada", False), (3, "b", "kannada", None), (4, "a", "KANNADA", False), (5, "a", "hindi", False), (6, "a", "kannada", False)],
+    "('list', 1), ('list', 4), ('open', 3), ('open', 4), ('open', 5), ('open', 6)",
+    "kind, line_no",
+)
+def correction_lists(rows):
+    """the first two corrections of a document in a language, and those that are not promoted."""
+    some = records.corrections(rows, "a", "kannada", 2).select(F.lit("list").alias("kind"), "line_no")
+    return some.unionByName(records.unpromoted(rows.where("document_id is not null")).select(F.lit("open").alias("kind"), "line_no"))

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import confidence, datasets, duplicates, extract, layout, metrics, numbers, parcels, review, search, translate, validate
+from recordloom.operators import confidence, datasets, duplicates, extract, layout, metrics, numbers, parcels, records, review, search, translate, validate
 
 
 def one(spark, column):
@@ -344,3 +344,22 @@ def test_label_anchors(spark):
     rows = spark.createDataFrame([(1, "Survey No: 125/1"), (2, "Village"), (3, "ಜಿಲ್ಲೆ - Mysuru"), (4, "nothing"), (5, "Owner Name Ravi"), (6, None)], "id int, text string")
     got = {(r.id, r.field_name): (r.label, r.inline_value) for r in extract.label_anchors(rows).collect()}
     assert got == {(1, "survey_number"): ("Survey No", "125/1"), (2, "village"): ("Village", None), (3, "district"): ("ಜಿಲ್ಲೆ", "Mysuru"), (5, "owner_name"): ("Owner Name", None)}
+
+
+def test_small_record_operators(spark, tmp_path):
+    assert one(spark, records.with_note(F.array(F.lit("a")), F.lit("a"))) == ["a"] and one(spark, records.with_note(F.array(F.lit("a")), F.lit("b"))) == ["a", "b"]
+    e = one(spark, records.evidence(F.lit(1), F.lit(None).cast("string"), F.lit("raw")))
+    assert (e.ocr_engine, e.extraction_rule_id, e.validation_notes, e.source_record) == ("paddleocr", "regex_default", [], None)
+    a = one(spark, records.audit(F.array(F.lit(0.5), F.lit(1.0))))
+    assert (a.token_count, a.has_token_probabilities, a.min_token_confidence, a.mean_token_confidence) == (2, True, 0.5, 0.75)
+    assert one(spark, records.audit(F.lit(None).cast("array<double>"))).has_token_probabilities is False
+    assert one(spark, records.overlay_engine(F.lit(False), F.lit("TrOCR-x"))) == "HANDWRITTEN" and one(spark, records.overlay_engine(F.lit(None).cast("boolean"), F.lit("p"))) == "PRINTED"
+    assert one(spark, records.ordered_unique(F.array(F.lit("b"), F.lit("a"), F.lit("b")))) == ["b", "a"]
+    rows = spark.createDataFrame([("a", 1, None), ("b", 2, "x")], "review_id string, priority int, note string")
+    records.save_json(rows, f"{tmp_path}/queue")
+    assert sorted(map(tuple, records.load_json(spark, f"{tmp_path}/queue", "review_id string, priority int, note string").collect())) == sorted(map(tuple, rows.collect()))
+    assert [r.review_id for r in records.point(rows, review_id="b", priority=2).collect()] == ["b"]
+    lines, writing = records.lines_and_writing(spark.createDataFrame([(1, True), (2, None)], "id int, is_handwritten boolean"))
+    assert lines.count() == 2 and [r.id for r in writing.collect()] == [1]
+    engines = spark.createDataFrame([("p", "d", "a", 1.0), ("p", "d", "b", 0.5)], "engine string, document_id string, stage string, seconds double")
+    assert records.engine_counts(engines).first().n == 2 and tuple(records.stage_times(engines).first()) == ("d", 1.5, 2)
