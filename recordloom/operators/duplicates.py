@@ -37,16 +37,39 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-def nearest_in_block(rows: DataFrame, key: str, vector: str, block: str, threshold: float | None = None) -> DataFrame:
-    """Each row's most similar other row of its block, ties to the smaller key.
+def nearest_in_block(rows: DataFrame, key: str, vector: str, block: str, threshold: float | None = None, asked: Column | None = None) -> DataFrame:
+    """For each asked row (all, if not given) the most similar other row of its block: id, other_id, similarity.
 
-    The block is the equi key that keeps the join from comparing everything with everything.
+    Cosines are rounded to nine places, ties go to the smaller key; vectors are of one length, and null or zero ones take no
+    part. A block is cut into parts by its number of rows; the asked rows meet each part, which yields one row for each.
     """
-    a = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(block).alias("block"))
-    b = rows.select(F.col(key).alias("other_id"), F.col(vector).alias("other_v"), F.col(block).alias("block"))
-    pairs = a.join(b, "block").where("id != other_id").select("id", "other_id", cosine("v", "other_v").alias("similarity"))
-    best = pairs.groupBy("id").agg(F.max_by(F.struct("other_id", "similarity"), F.struct("similarity", (-F.col("other_id")).alias("o"))).alias("m")).select("id", "m.*")
-    return best if threshold is None else best.where(F.col("similarity") >= threshold)
+    v = F.col(vector).cast("array<double>")
+    sound = rows.where(F.col(key).isNotNull() & F.col(block).isNotNull() & F.exists(vector, lambda x: x != 0))
+    sizes = sound.groupBy(F.col(block).alias("block")).agg(F.ceil(F.count(F.lit(1)) / SEARCHED_ROWS).cast("int").alias("parts"))
+    own = sound.select(F.col(key).alias("id"), v.alias("v"), F.col(block).alias("block"), (F.lit(True) if asked is None else asked).alias("_asks")).join(sizes, "block")
+    searched = own.select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "v")
+    asking = own.where("_asks").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), "id", "v")
+
+    def best(t: pa.Table) -> pa.Table:
+        asks, ids = t.column("asks").to_numpy(), t.column("id").to_numpy()
+        m = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        at = np.flatnonzero(~asks)
+        at = at[np.argsort(ids[at], kind="stable")]
+        found = []
+        for a in range(0, int(asks.sum()), 512):
+            who = np.flatnonzero(asks)[a : a + 512]
+            cos = np.round(m[who] @ m[at].T, 9)
+            cos[ids[who][:, None] == ids[at][None, :]] = -2
+            j = cos.argmax(axis=1) if len(at) else np.empty(0, np.int64)
+            real = np.flatnonzero(cos[np.arange(len(j)), j] > -2)
+            found.append((ids[who[real]], ids[at[j[real]]], cos[real, j[real]]))
+        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(3)]
+        return pa.table({"id": pa.array(columns[0], pa.int64()), "other_id": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
+
+    near = searched.unionByName(asking).groupBy("block", "part").applyInArrow(best, "id long, other_id long, similarity double")
+    out = near.groupBy("id").agg(F.min_by(F.struct("other_id", "similarity"), F.struct((-F.col("similarity")).alias("m"), "other_id")).alias("b")).select("id", "b.*")
+    return out if threshold is None else out.where(F.col("similarity") >= threshold)
 
 
 def tfidf_vectors(rows: DataFrame, text: str, features: int = 1000) -> DataFrame:

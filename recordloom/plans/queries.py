@@ -362,33 +362,8 @@ SELECT vec_id, other AS other_id, round(s, 6) AS similarity FROM r WHERE k = 1
 """)
 def vector_top1(spark, d):
     """The nearest vector of the same label, for the vectors whose id is divisible by 20, in blocks and without emitting pairs."""
-    import numpy as np
-    import pyarrow as pa
-
-    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    parts = 16
-    q = e.where("vec_id % 20 = 0").select("label", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "vec_id", "v")
-    all_ = e.select("label", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "vec_id", "v")
-
-    def best(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        ids = table.column("vec_id").to_numpy()
-        v = np.array(table.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
-        order = np.flatnonzero(~asks)[np.argsort(ids[~asks], kind="stable")]
-        x, xi = v[order], ids[order]
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        out = []
-        for i in np.flatnonzero(asks).tolist():
-            s = np.round(x @ (v[i] / np.linalg.norm(v[i])), 9)
-            s[xi == ids[i]] = -9
-            if len(s) and s.max() > -9:
-                j = int(np.argmax(s))
-                out.append((int(ids[i]), int(xi[j]), float(s[j])))
-        return pa.table({"vec_id": pa.array([o[0] for o in out], pa.int64()), "other_id": pa.array([o[1] for o in out], pa.int64()), "s": pa.array([o[2] for o in out], pa.float64())})
-
-    near = q.unionByName(all_).groupBy("label", "part").applyInArrow(best, "vec_id long, other_id long, s double")
-    top = near.groupBy("vec_id").agg(F.min_by(F.struct("other_id", "s"), F.struct((-F.col("s")).alias("m"), "other_id")).alias("b"))
-    return top.select("vec_id", "b.other_id", rnd("b.s", 6).alias("similarity"))
+    found = duplicates.nearest_in_block(t(spark, d, "embeddings"), "vec_id", "embedding", "label", asked=F.col("vec_id") % 20 == 0)
+    return found.select(F.col("id").alias("vec_id"), "other_id", rnd("similarity", 6).alias("similarity"))
 
 
 # ------------------------------------------------------------------ text
