@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import grouped, spread_join, stored, table
+from recordloom.llm.common import grouped, mix, spread_join, stored, table
 
 TABLES = 3
 #: Fewest and most functions of a table, and vectors of a bucket that the number of functions aims at.
@@ -123,6 +123,11 @@ def fit(x: np.ndarray, k: int, target: float = TARGET, n: int | None = None) ->
     return index
 
 
+def _group(names: np.ndarray, n: int) -> np.ndarray:
+    """The group of each bucket."""
+    return (mix(names.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
 def _scaled(x: np.ndarray) -> np.ndarray:
     """Rows whose squares would overflow or vanish, times a power of two; the others as they are."""
     most = np.abs(x).max(axis=1, initial=0)
@@ -194,9 +199,8 @@ def _best(k: int, dim: int):
     return run
 
 
-def _met(data: DataFrame, asks: DataFrame, n_groups: int, k: int, dim: int) -> DataFrame:
-    """data (t, buckets of one, id, v) and asks (t, g, buckets, id, v) of the same groups; groups over BLOCK_ROWS are split by id."""
-    data = data.withColumn("g", F.pmod(F.xxhash64(F.element_at("buckets", 1)), F.lit(n_groups)))
+def _met(data: DataFrame, asks: DataFrame, k: int, dim: int) -> DataFrame:
+    """data (t, g, buckets of one, id, v) and asks (t, g, buckets, id, v) of the same groups; groups over BLOCK_ROWS are split by id."""
     sizes = data.groupBy("t", "g").agg(F.count(F.lit(1)).alias("n"))
     left = spread_join(data, sizes, ["t", "g"], "n").withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     left = left.select("t", "g", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "buckets", "v")
@@ -253,7 +257,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                 cells = own.names(np.floor(own.places(x)).astype(np.int64))
                 one = np.arange(len(x) + 1, dtype=np.int32)
                 for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.ListArray.from_arrays(pa.array(one), pa.array(cells[:, t])), rows.column("id"), _single(x)], ["t", "buckets", "id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(_group(cells[:, t], n_groups)), pa.ListArray.from_arrays(pa.array(one), pa.array(cells[:, t])), rows.column("id"), _single(x)], ["t", "g", "buckets", "id", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -263,16 +267,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                 x = _unit(_matrix(rows.column("v"), dim))
                 place = own.places(x)
                 for t in range(TABLES):
+                    # a query goes to a group once, with the buckets that it visits there
                     names = own.probe_names(place[:, t], own.probes)
-                    ends = (np.arange(len(x) + 1) * names.shape[1]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(names.ravel())), rows.column("id"), _single(x)], ["t", "buckets", "id", "v"])
-
-    hashed = entries.select("id", "v").mapInArrow(bucket, "t int, buckets array<long>, id long, v binary")
-    probes = asked.select("id", "v").mapInArrow(probe, "t int, buckets array<long>, id long, v binary")
-    # a query goes to a group once, with the buckets that it visits there
-    group = F.pmod(F.xxhash64("b"), F.lit(n_groups))
-    visits = probes.select("t", "id", "v", F.explode("buckets").alias("b")).groupBy("t", "id", group.alias("g")).agg(F.collect_list("b").alias("buckets"), F.first("v").alias("v"))
-    found = _met(hashed, visits, n_groups, k, dim)
+                    row, name = np.repeat(np.arange(len(x)), names.shape[1]), names.ravel()
+                    g = _group(name, n_groups)
+                    order = np.lexsort((g, row))
+                    row, name, g = row[order], name[order], g[order]
+                    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1])]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(name))
+                    who = rows.column("id").take(pa.array(row[first]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), t, np.int32)), pa.array(g[first]), lists, who, _single(x[row[first]])], ["t", "g", "buckets", "id", "v"])
+
+    kind = "t int, g long, buckets array<long>, id long, v binary"
+    found = _met(entries.select("id", "v").mapInArrow(bucket, kind), asked.select("id", "v").mapInArrow(probe, kind), k, dim)
     ranked = stored(_reranked(found, entries, asked, k, dim), "ann-found")
     # queries that found too few are compared with all vectors
     enough = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, seen.ids))
@@ -285,9 +292,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), _single(_unit(_matrix(batch.column("v"), dim)))], ["id", "v"])
 
     one = F.array(F.lit(0).cast("long"))
-    everything = entries.select("id", "v").mapInArrow(whole, "id long, v binary").select(F.lit(0).alias("t"), one.alias("buckets"), "id", "v")
-    rest = short.mapInArrow(whole, "id long, v binary").select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("g"), one.alias("buckets"), "id", "v")
-    more = _reranked(_met(everything, rest, 1, k, dim), entries, short, k, dim)
+    alike = lambda df: df.select("id", "v").mapInArrow(whole, "id long, v binary").select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("g"), one.alias("buckets"), "id", "v")
+    more = _reranked(_met(alike(entries), alike(short), k, dim), entries, short, k, dim)
     return ranked.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
 
 
