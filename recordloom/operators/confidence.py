@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.functions import geometry
 from recordloom.functions.text import _c, strip, tokens
 
 HIGH, MEDIUM = 0.85, 0.65
@@ -146,6 +147,30 @@ def resolve_conflicts(value: Column | str, confidence: Column | str, readings: C
     return F.aggregate(_c(readings), start, step)
 
 
+def resolve_fields(fields: DataFrame, writing: DataFrame, threshold: float = 0.25, document: str = "document_id") -> DataFrame:
+    """Fields (field_name, page, box, value, confidence) with the handwritten regions (region_no, page, box, text,
+    confidence) of their page that overlap them by threshold or more, folded in region order. Adds resolved (as resolve_conflicts())."""
+    side = writing.select(F.col(document), F.col("page"), F.struct("region_no", "text", "confidence").alias("_r"), F.col("box").alias("_box"))
+    met = fields.join(side, [document, "page"]).where(geometry.overlaps(F.col("box"), F.col("_box"), threshold))
+    lists = met.groupBy(document, "field_name").agg(F.array_sort(F.collect_list("_r")).alias("_readings"))
+    readings = F.transform(F.coalesce("_readings", F.array().cast("array<struct<region_no:int,text:string,confidence:double>>")), lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence")))
+    return fields.join(lists, [document, "field_name"], "left").withColumn("resolved", resolve_conflicts("value", "confidence", readings)).drop("_readings")
+
+
+def grounding_score(value: Column | str, source: Column | str) -> Column:
+    """1 where the value stands in the source, 0.9 where all its words do, 0.6 where some do, else 0."""
+    v, s = strip(value), strip(source)
+    words, held = F.array_distinct(tokens(v)), tokens(s)
+    some = F.size(words) > 0
+    return F.when(F.contains(s, v), 1.0).when(some & (F.size(F.array_except(words, held)) == 0), 0.9).when(some & F.arrays_overlap(words, held), 0.6).otherwise(0.0)
+
+
+def document_means(regions: DataFrame, document: str = "document_id") -> DataFrame:
+    """Mean detection and routing confidence (1.0 without any), four places; the calibrated mean only if every region has one."""
+    mean = lambda c: F.coalesce(F.bround(F.avg(c), 4), F.lit(1.0)).alias(c)
+    return regions.groupBy(document).agg(mean("detection"), mean("routing"), F.bround(mean_if_all("calibrated"), 4).alias("calibrated"))
+
+
 def platt(score, a, b) -> Column:
     """Four places."""
     return F.bround(1.0 / (1.0 + F.exp(-(_c(a) * _c(score) + _c(b)))), 4)

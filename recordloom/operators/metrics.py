@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import _c, cer, manifest_text, normalized_distance, tokens, wer, word_distance
+from recordloom.functions.text import _c, cer, manifest_text, normalized_distance, strip, tokens, wer, word_distance
 
 
 def error_rates(rows: DataFrame, reference: str, hypothesis: str, group: str) -> DataFrame:
@@ -172,3 +172,10 @@ def lexicon_matches(words: DataFrame, lexicon: DataFrame, word: str = "word", en
     a = words.select(word).distinct().withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.length(word) - around), F.length(word) + around)))
     pairs = a.join(lexicon.select(entry, F.length(entry).alias("n")), "n").withColumn("similarity", 1 - normalized_distance(word, entry)).where(F.col("similarity") >= least)
     return pairs.groupBy(word).agg(F.min_by(F.struct(entry, "similarity"), F.struct((-F.col("similarity")).alias("s"), entry)).alias("m")).select(word, "m.*")
+
+
+def suggestions(text: Column | str, lexicon: list[str], most: int = 2) -> Column:
+    """The terms, in their order, that stand in the stripped text or are within one edit of it (most edits from five letters)."""
+    t = strip(text)
+    near = [F.when((t != "") & (F.contains(t, F.lit(w)) | (F.levenshtein(t, F.lit(w)) <= (1 if len(w) <= 4 else most))), F.lit(w)) for w in dict.fromkeys(lexicon)]
+    return F.array_compact(F.array(*near))

@@ -491,3 +491,48 @@ def correction_lists(rows):
     """the first two corrections of a document in a language, and those that are not promoted."""
     some = records.corrections(rows, "a", "kannada", 2).select(F.lit("list").alias("kind"), "line_no")
     return some.unionByName(records.unpromoted(rows.where("document_id is not null")).select(F.lit("open").alias("kind"), "line_no"))
+
+
+@literal(
+    "id int, raw string",
+    [(1, "ಗ್ರಾಮ"), (2, "ತಾಲೂಕ"), (3, " survey of land "), (4, "lend"), (5, "lxnx"), (6, " "), (7, None)],
+    "(1, 'ಗ್ರಾಮ'), (2, 'ತಾಲೂಕು'), (3, 'land,survey'), (4, 'land'), (5, ''), (6, ''), (7, '')",
+    "id, terms",
+)
+def term_suggestions(rows):
+    """O10."""
+    return rows.select("id", F.array_join(F.coalesce(metrics.suggestions("raw", ["ಗ್ರಾಮ", "ತಾಲೂಕು", "land", "survey"]), F.array().cast("array<string>")), ",").alias("terms"))
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, trim(text) AS v, lead(trim(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations),
+x AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> '')) AS a, list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '') AS b FROM w WHERE s IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN contains(s, v) THEN 1.0 WHEN len(a) > 0 AND len(list_filter(a, lambda w: NOT list_contains(b, w))) = 0 THEN 0.9 WHEN len(a) > 0 AND len(list_intersect(a, b)) > 0 THEN 0.6 ELSE 0.0 END::DOUBLE AS score FROM x
+""")
+def grounding_scores(spark, d):
+    """How far each turn's words stand in the next one."""
+    c = t(spark, d, "conversations").withColumn("s", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("s is not null")
+    return c.select("conv_id", "turn", confidence.grounding_score("text", "s").alias("score"))
+
+
+@query("""
+SELECT o_orderpriority AS document_id, round_even(avg(o_totalprice / 1000000.0), 3) AS detection, 1.0::DOUBLE AS routing, CASE WHEN count(CASE WHEN o_orderstatus <> 'F' OR o_orderpriority LIKE '1%' THEN 1 END) = count(*) THEN 0.5::DOUBLE END AS calibrated FROM orders GROUP BY o_orderpriority
+""")
+def document_confidences(spark, d):
+    """Means by priority, with the defaults for what is missing."""
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("document_id"), (F.col("o_totalprice") / 1000000.0).alias("detection"), F.lit(None).cast("double").alias("routing"), F.when((F.col("o_orderstatus") != "F") | F.col("o_orderpriority").startswith("1"), 0.5).alias("calibrated"))
+    return confidence.document_means(o).withColumn("detection", F.bround("detection", 3))
+
+
+@literal(
+    "kind string, name string, page int, x0 double, x1 double, value string, confidence double, region_no int",
+    [("field", "owner", 1, 0.0, 10.0, "Ravi", 0.5, None), ("field", "village", 1, 50.0, 60.0, "Shirur", 0.9, None), ("field", "taluk", 2, 0.0, 10.0, "South", 0.9, None), ("hand", None, 1, 0.0, 9.0, "Rama", 0.9, 2), ("hand", None, 1, 1.0, 10.0, " ravi", 0.9, 1), ("hand", None, 1, 58.0, 80.0, "Other", 0.99, 3), ("hand", None, 1, 0.0, 10.0, "Raju", 0.1, 4)],
+    "('owner', 'Rama', 0.3::DOUBLE, true), ('village', 'Shirur', 0.9, false), ('taluk', 'South', 0.9, false)",
+    "field_name, value, confidence, fused",
+)
+def resolved_fields(rows):
+    """Printed fields against the handwriting that overlaps them, in region order."""
+    box = geometry.box(F.col("x0"), F.lit(0.0), F.col("x1"), F.lit(10.0)).alias("box")
+    fields = rows.where("kind = 'field'").select(F.lit("d").alias("document_id"), F.col("name").alias("field_name"), "page", box, "value", "confidence")
+    hand = rows.where("kind = 'hand'").select(F.lit("d").alias("document_id"), "page", "region_no", box, F.col("value").alias("text"), "confidence")
+    return confidence.resolve_fields(fields, hand).select("field_name", "resolved.value", F.round("resolved.confidence", 4).alias("confidence"), "resolved.fused")
