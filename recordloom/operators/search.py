@@ -68,6 +68,16 @@ def with_aliases(fields: Column, aliases: dict[str, str]) -> Column:
     return F.map_concat(fields, extra)
 
 
+# Names under which a response repeats a field.
+RESPONSE_ALIASES = {"survey_number": "khasra_number", "property_number": "khatauni_number", "taluk": "tehsil", "date": "document_date"}
+
+
+def merged_reasons(warnings: Column | str, reasons: Column | str) -> Column:
+    """Both lists without blanks and repeats, in order."""
+    w, r = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.array().cast("array<string>")) for c in (warnings, reasons))
+    return F.array_distinct(F.filter(F.concat(w, r), lambda x: F.coalesce(x != "", F.lit(False))))
+
+
 # The names of fields in the main schema, and names of other states with the field and the tradition they stand for.
 MAIN_FIELDS = (
     "document_type", "district", "taluk", "hobli", "village", "survey_number", "hissa_number", "khata_number", "owner_name", "cultivator_name", "extent", "land_type",

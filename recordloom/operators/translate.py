@@ -80,6 +80,28 @@ def gate(confidence: Column | str) -> Column:
     return F.when(c.isNull() | (c < 0.60), "BLOCKED").when(c < 0.85, "FLAGGED").otherwise("COMPLETED")
 
 
+def is_translated(text: Column | str) -> Column:
+    """some letters, and fewer than a fifth of them Kannada."""
+    t = F.coalesce(_c(text), F.lit(""))
+    letters = F.regexp_count(t, F.lit(r"\p{L}"))
+    return (letters > 0) & (F.regexp_count(t, F.lit("[ಀ-೿]")) / F.greatest(letters, F.lit(1)) < 0.20)
+
+
+def failure_mode(text: Column | str, reference: Column | str) -> Column:
+    """the first kind of failure that a translation shows against its reference."""
+    t, r = F.coalesce(_c(text), F.lit("")), F.coalesce(_c(reference), F.lit(""))
+    words, want = F.array_distinct(tokens(F.lower(t))), F.array_distinct(tokens(F.lower(r)))
+    common = F.size(F.array_intersect(words, want)) / F.greatest(F.size(want), F.lit(1))
+    return (
+        F.when(F.contains(t, F.lit("[GATED_REPO")) | F.contains(t, F.lit("[LOAD_FAILED")), "MODEL_ACCESS_OR_LOAD_BLOCKED")
+        .when(F.regexp_count(t, F.lit("[ಀ-೿]")) / F.greatest(F.length(t), F.lit(1)) > 0.30, "UNTRANSLATED_KANNADA_REMAINS")
+        .when(F.length(t) < 5, "EMPTY_OR_TOO_SHORT")
+        .when(common < 0.20, "WRONG_CONTENT_HALLUCINATED")
+        .when(common < 0.50, "PARTIAL_TRANSLATION_MISSING_CONTENT")
+        .otherwise("ACCEPTABLE")
+    )
+
+
 # Latin letters for Kannada consonants, vowels and signs, two short words, and fields that are never translated.
 CONSONANTS = {
     "ಕ": "k", "ಖ": "kh", "ಗ": "g", "ಘ": "gh", "ಙ": "ng",

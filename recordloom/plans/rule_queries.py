@@ -536,3 +536,26 @@ def resolved_fields(rows):
     fields = rows.where("kind = 'field'").select(F.lit("d").alias("document_id"), F.col("name").alias("field_name"), "page", box, "value", "confidence")
     hand = rows.where("kind = 'hand'").select(F.lit("d").alias("document_id"), "page", "region_no", box, F.col("value").alias("text"), "confidence")
     return confidence.resolve_fields(fields, hand).select("field_name", "resolved.value", F.round("resolved.confidence", 4).alias("confidence"), "resolved.fused")
+
+
+@literal(
+    "id int, raw string, reference string",
+    [(1, "[LOAD_FAILED x]", "a b"), (2, "ಗ್ರಾಮ ಗ್ರಾಮ", "a b"), (3, "abc", "abc"), (4, "one two three", "four five six seven eight"), (5, "one two x y", "one two three four five"), (6, "one two three", "One two THREE"), (7, None, "a")],
+    "(1, 'MODEL_ACCESS_OR_LOAD_BLOCKED', true), (2, 'UNTRANSLATED_KANNADA_REMAINS', false), (3, 'EMPTY_OR_TOO_SHORT', true), (4, 'WRONG_CONTENT_HALLUCINATED', true), (5, 'PARTIAL_TRANSLATION_MISSING_CONTENT', true), (6, 'ACCEPTABLE', true), (7, 'EMPTY_OR_TOO_SHORT', false)",
+    "id, mode, translated",
+)
+def translation_failures(rows):
+    """F27."""
+    return rows.select("id", translate.failure_mode("raw", "reference").alias("mode"), translate.is_translated("raw").alias("translated"))
+
+
+@literal(
+    "id int, fields map<string,string>, a array<string>, b array<string>",
+    [(1, {"tehsil": "T", "document_date": "D", "date": "E"}, ["x", ""], ["y", "x"]), (2, {"owner": "O"}, None, ["z", None])],
+    "(1, 'date=E,document_date=D,taluk=T,tehsil=T', 'x,y'), (2, 'owner=O', 'z')",
+    "id, fields, reasons",
+)
+def unified_responses(rows):
+    """Aliases only where absent, and reasons merged in order."""
+    f = F.array_sort(F.map_entries(search.with_aliases(F.col("fields"), search.RESPONSE_ALIASES)))
+    return rows.select("id", F.array_join(F.transform(f, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"), F.array_join(search.merged_reasons("a", "b"), ",").alias("reasons"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordloom.functions.text import lookup, strip
+
 IMAGES = ("bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp")
 LABEL_FILE_COLUMNS = ("filename", "file", "image", "image_path", "path", "name")
 LABEL_TEXT_COLUMNS = ("text", "label", "ground_truth", "transcription", "word")
@@ -137,11 +139,22 @@ def state_configs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def with_state_config(documents: DataFrame, config: DataFrame, default: str = "DEFAULT") -> DataFrame:
-    """Each document's rows of a dimension; those of the default state where its own has none."""
-    known = config.select("state").distinct()
-    placed = documents.join(known.withColumn("_known", F.lit(True)), "state", "left").withColumn("config_state", F.when(F.col("_known"), F.col("state")).otherwise(default)).drop("_known")
-    return placed.join(config.withColumnRenamed("state", "config_state"), "config_state")
+# Codes and names of states, and the configuration file of each.
+STATE_FILES = {
+    "ka": "karnataka", "karnataka": "karnataka", "tn": "tamilnadu", "tamilnadu": "tamilnadu", "tamil_nadu": "tamilnadu", "mh": "maharashtra", "maharashtra": "maharashtra",
+    "br": "bihar", "bihar": "bihar", "up": "up", "uttar_pradesh": "up", "mp": "mp", "madhya_pradesh": "mp",
+}
+
+
+def with_state_config(documents: DataFrame, config: DataFrame, default: str = "DEFAULT", files: dict[str, str] = STATE_FILES) -> DataFrame:
+    """Each document's rows of a dimension: those of its state's file, else of the file named as its code, else of the default one."""
+    code = F.lower(strip(F.coalesce("state", F.lit(default))))
+    known = F.broadcast(config.select(F.col("state").alias("config_state")).distinct())  # a row for each configuration file
+    placed = documents.withColumns({"_file": F.upper(lookup(files, code)), "_code": F.upper(code)})
+    for key, mark in (("_file", "_has_file"), ("_code", "_has_code")):
+        placed = placed.join(known.select(F.col("config_state").alias(key), F.lit(True).alias(mark)), key, "left")
+    placed = placed.withColumn("config_state", F.when(F.col("_has_file"), F.col("_file")).when(F.col("_has_code"), F.col("_code")).otherwise(default))
+    return placed.drop("_file", "_code", "_has_file", "_has_code").join(config.withColumnRenamed("state", "config_state"), "config_state")
 
 
 def flat_lines(documents: DataFrame) -> DataFrame:

@@ -51,6 +51,9 @@ def test_layers_labels_and_configs(spark, tmp_path):
     assert dims["patterns"].count() == 2 and dims["terms"].first().term == "Owner" and dims["rules"].first().min_length == 2
     docs = spark.createDataFrame([("d", "XX")], "document_id string, state string")
     assert readers.with_state_config(docs, dims["units"]).first().hectares == 0.4
+    units = spark.createDataFrame([("DEFAULT", 0.4), ("KARNATAKA", 0.5), ("ZZ", 0.6)], "state string, hectares double")
+    many = spark.createDataFrame([("a", "KA"), ("b", " karnataka "), ("c", "zz"), ("d", "Tamil_Nadu"), ("e", None)], "document_id string, state string")
+    assert {r.document_id: r.hectares for r in readers.with_state_config(many, units).collect()} == {"a": 0.5, "b": 0.5, "c": 0.6, "d": 0.4, "e": 0.4}
 
 
 def test_writers(spark, tmp_path):
