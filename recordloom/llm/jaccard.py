@@ -25,7 +25,8 @@ Equal sets are one class with a representative, so copies are not compared with
 Defined cases: a null or blank text has no shingles, is a class of its own and has no links; a text of
 one to four words has one shingle, all its words; repeated rows are copies of each other; a null id
 sorts after all others and never names a class that has another id; an empty table gives an empty
-table; extra columns are passed on unless their names clash with class_id, n_links, n_copies, first_of_class.
+table; extra columns are passed on unless their names clash with class_id, n_links, n_copies, first_of_class, or with
+the operator's own names (OWN).
 """
 
 from __future__ import annotations
@@ -64,6 +65,8 @@ COMPARISONS = 1 << 18
 BLOCK = 128
 #: Sets of a block of differences.
 DIFF_BLOCK = 512
+#: Names of columns on the way; a column of the input with one of them is not passed on.
+OWN = frozenset(("_rid", "_s1", "_s2", "_size", "_sketch", "_word", "_mask", "_maybe", "_copies", "_links", "_first_rid", "_first_id"))
 _ALL = float(1 << 64)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -446,7 +449,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, runs: int |
     similarity or more), n_copies (other rows with the same set), first_of_class (the row to keep)."""
     runs = runs or runs_for(similarity)
     own = ("class_id", "n_links", "n_copies", "first_of_class")
-    keep = [c for c in docs.columns if c not in own]
+    keep = [c for c in docs.columns if c not in own and c not in OWN]
     extra = [T.StructField("_rid", T.LongType()), T.StructField("_s1", T.LongType()), T.StructField("_s2", T.LongType()), T.StructField("_size", T.LongType()), T.StructField("_sketch", T.BinaryType())]
     schema = T.StructType([f for f in docs.schema if f.name in keep] + extra)
 
@@ -497,17 +500,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, runs: int |
     linked = stored(spread_join(linked, firsts, ["root"], "n").select("rid", "links", "first"), "linked")
     # a class of one row without links needs no mention
     named = heads.join(linked, "rid", "left").where("copies > 1 or links is not null")
-    named = stored(named.select("_s1", "_s2", "_size", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first.rid", "rid").alias("first_rid"), F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("first_id")), "near-classes")
+    named = stored(named.select("_s1", "_s2", "_size", F.col("copies").alias("_copies"), F.coalesce("links", F.lit(0)).alias("_links"), F.coalesce("first.rid", "rid").alias("_first_rid"), F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("_first_id")), "near-classes")
     discard(heads, placed, linked, *tables)
     rows = sieved(sets.select(*keep, "_rid", "_s1", "_s2", "_size"), sieve(named, "_s1", "_s2"), "_s1", "_s2")
-    in_class = spread_join(rows.where("_maybe"), named, ["_s1", "_s2", "_size"], "copies", "left")
-    alone = F.col("copies").isNull()
+    in_class = spread_join(rows.where("_maybe"), named, ["_s1", "_s2", "_size"], "_copies", "left")
+    alone = F.col("_copies").isNull()
     in_class = in_class.select(
         *keep,
-        F.when(alone, F.col(key)).otherwise(F.col("first_id")).alias("class_id"),
-        F.when(alone, 0).otherwise(F.col("links") + F.col("copies") - 1).alias("n_links"),
-        F.when(alone, 0).otherwise(F.col("copies") - 1).alias("n_copies"),
-        (alone | (F.col("_rid") == F.col("first_rid"))).alias("first_of_class"),
+        F.when(alone, F.col(key)).otherwise(F.col("_first_id")).alias("class_id"),
+        F.when(alone, 0).otherwise(F.col("_links") + F.col("_copies") - 1).alias("n_links"),
+        F.when(alone, 0).otherwise(F.col("_copies") - 1).alias("n_copies"),
+        (alone | (F.col("_rid") == F.col("_first_rid"))).alias("first_of_class"),
     )
     return rows.where("not _maybe").select(*keep, F.col(key).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"), F.lit(True).alias("first_of_class")).unionByName(in_class)
 

@@ -9,7 +9,7 @@ a random generator, so a lost task gives the same rows again.
 Defined cases: a null source is a source of its own with its share by the same rule; a null id is
 hashed as the word null; repeated rows with one id share that id's count; sources without a stated
 weight have weight 0 and leave the mix; an empty table gives an empty table; columns whose names clash with
-copy_no, n_copies and shuffle_key are replaced.
+copy_no, n_copies and shuffle_key are replaced, and those named as in OWN are not passed on.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ MEAN_LIMIT = 200.0
 BROADCAST_SOURCES = 10_000
 
 
+#: Names of columns on the way; a column of the input with one of them is not passed on.
+OWN = ("_none", "_name", "_rows", "_rate", "_parts", "_cdf")
+
+
 def unit_hash(*parts: Column) -> Column:
     """A double in [0, 1) with 52 bits from the md5 of the parts joined by |."""
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))).cast("double")
@@ -64,7 +68,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temper: floa
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper: float = TEMPER, output_rows: int | None = None, seed: str = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs with each row repeated by its count, in global random order, with copy_no (from 1), n_copies and shuffle_key."""
-    keep = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key")]
+    keep = [c for c in docs.columns if c not in ("copy_no", "n_copies", "shuffle_key", *OWN)]
     rate = rates(docs, weights, temper, output_rows, source)
     own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     names = lambda c: {"_none": F.col(c).isNull(), "_name": F.coalesce(F.col(c).cast("string"), F.lit(""))}

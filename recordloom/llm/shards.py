@@ -9,8 +9,8 @@ places in the whole corpus need only the totals of the runs.
 Shards are rows of a Parquet table in the shared folder, one binary value a shard: Spark's committer
 makes them survive lost executors, and any store that Spark writes to will do.
 
-Defined cases: a null text counts as empty and has only the end id; documents with one id keep a
-fixed order among themselves (by text); null ids come first; an empty table has no blocks; extra
+Defined cases: doc_id is an integer, anything else is an error; a null text counts as empty and has only the end id; documents with one id keep a
+fixed order among themselves (by text); null ids come first; an empty table has no shards; extra
 columns are not carried.
 """
 

@@ -19,7 +19,7 @@ Documents travel in chunks (Arrow, zstandard) that are written once to the share
 messages are per chunk: a passage in any number of documents is one entry for each chunk that holds
 it, so no group grows with the number of copies.
 
-Defined cases: a null text has no words; a text of fewer than WINDOW words keeps all; a row with a null
+Defined cases: keys are integers (of any width), others are an error; a null text has no words; a text of fewer than WINDOW words keeps all; a row with a null
 id neither loses words nor takes any from others; rows with one id do not take words from each other;
 a document whose words all stay keeps its text as it is; an empty table gives an empty table; extra
 columns are passed on unless they clash with n_words, n_removed, kept_sha256, removed.

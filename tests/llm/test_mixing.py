@@ -50,3 +50,10 @@ def test_many_sources_give_the_same_rows(spark, monkeypatch, odd):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert sorted(map(key, mixing.mix_sources(rows).collect())) == want
     assert len([w for w in want if w[3] == "None"]) > 0
+
+
+def test_names_that_clash(spark):
+    names = ["_rate", "_name", "rate", "n"]
+    df = spark.createDataFrame([(i, "s", *["x"] * len(names)) for i in range(20)], f"doc_id long, source string, {', '.join(f'{n} string' for n in names)}")
+    rows = mixing.mix_sources(df).collect()
+    assert rows and {(r.rate, r.n) for r in rows} == {("x", "x")} and "_rate" not in rows[0].asDict()

@@ -149,3 +149,11 @@ def test_sql(spark, small):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
     want = sorted(duckdb.sql(jaccard.OP2_SQL).fetchall())
     assert sorted(tuple(r) for r in jaccard.op2_jaccard(spark, small).collect()) == want
+
+
+def test_names_that_clash(spark):
+    names = ["links", "copies", "first_id", "rid", "_rid", "_maybe", "_word", "n", "root"]
+    df = spark.createDataFrame([(1, "a b c d e f", *["x"] * len(names)), (2, "a b c d e f", *["y"] * len(names)), (3, "other words", *["z"] * len(names))], f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    rows = jaccard.near_duplicates(df).orderBy("doc_id").collect()
+    assert [(r.class_id, r.n_links, r.links, r.copies, r.first_id, r.root) for r in rows] == [(1, 1, *["x"] * 4), (1, 1, *["y"] * 4), (3, 0, *["z"] * 4)]
+    assert "_rid" not in rows[0].asDict()
