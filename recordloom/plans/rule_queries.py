@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, geometry, text
-from recordloom.operators import confidence, extract, layout, metrics, numbers, parcels, records, review, search, translate, validate
+from recordloom.operators import confidence, extract, fallbacks, layout, metrics, numbers, parcels, records, review, search, translate, validate
 from recordloom.plans.queries import QUERIES, SQL, query, rnd, t
 
 
@@ -559,3 +559,18 @@ def unified_responses(rows):
     """Aliases only where absent, and reasons merged in order."""
     f = F.array_sort(F.map_entries(search.with_aliases(F.col("fields"), search.RESPONSE_ALIASES)))
     return rows.select("id", F.array_join(F.transform(f, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"), F.array_join(search.merged_reasons("a", "b"), ",").alias("reasons"))
+
+
+PAGE = "Shri Ramesh Kumar\nSurvey No: 142 - 3\nKhata No: 68-76-470/a\nSite Area: 2200.00 Sq Ft\nWard No: 148-North, Zone 2\nLocality: Shirur\nTaluk: Hosur\nDistrict: Mysuru\nDated 20-09-24"
+
+
+@literal(
+    "document_id string, full_text string",
+    [("a", PAGE), ("b", "ರಮೇಶ ರವರ ಹೆಸರಿನಲ್ಲಿ\nnear Kengeri, Bangalore"), ("c", None)],
+    "('a', 'owner_name', 'Shri Ramesh Kumar', 0), ('a', 'khasra_number', '142/3', 1), ('a', 'survey_number', '142/3', 1), ('a', 'khatauni_number', '68-76-470/a', 2), ('a', 'site_area', '2200.00 Sq Ft', 3), ('a', 'land_area', '2200.00 Sq Ft', 3), ('a', 'ward', '148-North', 4), ('a', 'locality', 'Shirur', 5), ('a', 'village', 'Shirur', 5), ('a', 'taluk', 'Hosur', 6), ('a', 'tehsil', 'Hosur', 6), ('a', 'sub_division', 'Hosur', 6), ('a', 'district', 'Mysuru', 7), ('a', 'document_date', '20-09-2024', 8), ('a', 'date', '20-09-2024', 8), ('b', 'owner_name', 'ರಮೇಶ', 0), ('b', 'locality', 'Kengeri', 1), ('b', 'village', 'Kengeri', 1), ('b', 'district', 'Bengaluru', NULL)",
+    "document_id, field_name, raw_value, line_no",
+)
+def general_fields(rows):
+    """Fields of whole texts by general patterns, with their lines."""
+    lines = F.transform(F.split("full_text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("text"), F.lit(0.9).alias("confidence")))
+    return fallbacks.general_fields(rows.withColumn("lines", lines), localities={"Kengeri": "Kengeri"}).select("document_id", "field_name", "raw_value", "line_no")
