@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import Words, held_out, mix, pieces, span_hashes, table, training_rows
+from recordloom.llm.common import Words, discard, held_out, mix, pieces, span_hashes, stored, table, training_rows
 
 TRAIN_ROWS = 8000
 FEATURES = 1024
@@ -140,36 +140,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """sets: features of each labelled text; pairs: features of a sentence, and of a rewritten form of it."""
-    none = np.empty(0, np.uint64)
-    if not len(labels) or labels.min() == labels.max():
-        mean = float(labels.mean()) if len(labels) else 0.0
-        return Model(none, np.empty(0), 40.0 if mean == 1 else -40.0)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    keys, column = np.unique(flat, return_inverse=True)
-    bad = np.bincount(column, labels[owner], len(keys))
-    good = np.bincount(column, minlength=len(keys)) - bad
-    n_bad, n_good = labels.sum(), len(labels) - labels.sum()
+def chosen(keys: np.ndarray, bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    """Of features with their numbers of documents of both classes: those that tell the classes apart, in order."""
     a, b, c, d = bad + 0.5, n_bad - bad + 0.5, good + 0.5, n_good - good + 0.5
     z = np.abs(np.log(a * d / (b * c)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
     z[bad + good < LEAST_DOCS] = 0
-    chosen = np.flatnonzero(z >= LEAST_Z)
-    chosen = np.sort(chosen[np.lexsort((keys[chosen], -z[chosen]))][:FEATURES])
-    keys = keys[chosen]
+    some = np.flatnonzero(z >= LEAST_Z)
+    return np.sort(keys[some[np.lexsort((keys[some], -z[some]))][:FEATURES]])
+
+
+def columns(sets: list[np.ndarray], keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each set's features among the sorted keys; other features are left out."""
+    if not len(keys):
+        return [np.empty(0, np.int32)] * len(sets)
+    out = []
+    for s in sets:
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        out.append(at[keys[at] == s].astype(np.int32))
+    return out
+
+
+def solve(keys: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The weights of keys; rows: columns() of each labelled text; pairs: columns() of a sentence and of a rewritten form of it."""
     k = len(keys)
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        """Which of the chosen features each row has, and a last column of ones."""
+        """Which features each row has, and a last column of ones."""
         out = np.zeros((len(rows), k + 1))
-        flat, owner = np.concatenate([*rows, none]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        at = np.minimum(np.searchsorted(keys, flat), max(k - 1, 0))
-        hit = keys[at] == flat if k else np.zeros(len(flat), bool)
-        out[owner[hit], at[hit]] = 1
+        out[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, np.int32)])] = 1
         out[:, k] = 1
         return out
 
-    x = matrix(sets)
+    x = matrix(rows)
     # the penalty is quadratic in the weights: mean of (w . (x - x'))**2 over rewritten forms, times the number of documents
     pull = np.zeros((k + 1, k + 1))
     for i in range(0, len(pairs), 1024):
@@ -183,13 +185,20 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
         s = x @ w
         return float(np.logaddexp(0, s).sum() - labels @ s + 0.5 * w @ pull @ w)
 
+    def curvature(p: np.ndarray) -> np.ndarray:
+        """x weighted by p (1 - p), times x, some rows at a time."""
+        out = pull.copy()
+        for i in range(0, len(x), 1024):
+            part = x[i : i + 1024]
+            out += part.T @ (part * (p * (1 - p) + 1e-9)[i : i + 1024, None])
+        return out
+
     w = np.zeros(k + 1)
-    w[k] = np.log(n_bad / n_good)
+    w[k] = np.log(labels.sum() / (len(labels) - labels.sum()))
     now = loss(w)
     for _ in range(STEPS):  # Newton's method with halved steps where a full one goes too far
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        slope = x.T @ (p - labels) + pull @ w
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + pull, slope)
+        step = np.linalg.solve(curvature(p), x.T @ (p - labels) + pull @ w)
         size = 1.0
         while size > 1e-4 and (then := loss(w - size * step)) > now:
             size /= 2
@@ -199,27 +208,62 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     return Model(keys, w[:k], float(w[k]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
-    """groups: names of groups of people whose sentences are swapped."""
-    sample = training_rows(docs, labels, label, rows)
+def constant(mean: float) -> Model:
+    """The model of a sample of one class, or of none."""
+    return Model(np.empty(0, np.uint64), np.empty(0), 40.0 if mean == 1 else -40.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fit(sets: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """sets: features of each labelled text; pairs: features of a sentence, and of a rewritten form of it. All in one place."""
+    if not len(labels) or labels.min() == labels.max():
+        return constant(float(labels.mean()) if len(labels) else 0.0)
+    keys, column = np.unique(np.concatenate(sets), return_inverse=True)
+    bad = np.bincount(column, np.repeat(labels, [len(s) for s in sets]), len(keys))
+    keys = chosen(keys, bad, np.bincount(column, minlength=len(keys)) - bad, labels.sum(), len(labels) - labels.sum())
+    return solve(keys, columns(sets, keys), labels, [tuple(columns([*p], keys)) for p in pairs])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+    """groups: names of groups of people whose sentences are swapped. Features are counted by the cluster; the driver gets
+    the counts, and of each text the places of the chosen features."""
+    sample = stored(training_rows(docs, labels, label, rows), "toxicity-sample")
+    n = sample.agg(F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("_label"), F.lit(0)).alias("bad")).first()
+    if n.bad in (0, n["all"]):
+        discard(sample)
+        return constant(n.bad / max(n["all"], 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                sets = feature_sets([(t or "").lower() for t in piece.column(2).to_pylist()])
+                y = np.repeat(piece.column(1).to_numpy(zero_copy_only=False), [len(s) for s in sets])
+                keys, column = np.unique(np.concatenate(sets), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(column, y, len(keys)).astype(np.int64)), pa.array(np.bincount(column, minlength=len(keys)))], ["key", "bad", "n"])
+
+    counted = sample.mapInArrow(count, "key long, bad long, n long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= LEAST_DOCS).toArrow()
+    key, bad, every = (found.column(c).to_numpy() for c in ("key", "bad", "n"))
+    keys = chosen(key.view(np.uint64), bad.astype(np.float64), (every - bad).astype(np.float64), float(n.bad), float(n["all"] - n.bad))
+    del found, key, bad, every
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swapper = Swapper(groups)
         for batch in batches:
             for piece in pieces(batch):
                 texts = [(t or "").lower() for t in piece.column(2).to_pylist()]
                 changes = [swapper.pairs(t) for t in texts]
-                own = [x.tobytes() for x in feature_sets(texts)]
-                flat = feature_sets([*chain.from_iterable(chain.from_iterable(changes))]) if any(changes) else []
+                own = columns(feature_sets(texts), keys)
+                flat = columns(feature_sets([*chain.from_iterable(chain.from_iterable(changes))]), keys) if any(changes) else []
                 ends = np.cumsum([0, *(2 * len(c) for c in changes)]).tolist()
-                nested = [[x.tobytes() for x in flat[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(own, pa.binary()), pa.array(nested, pa.list_(pa.binary()))], ["doc_id", "_label", "own", "changes"])
+                nested = [[x.tolist() for x in flat[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([x.tolist() for x in own], kind), pa.array(nested, pa.list_(kind))], ["doc_id", "_label", "own", "changes"])
 
-    found = sample.mapInArrow(run, "doc_id long, _label int, own binary, changes array<binary>").toArrow().sort_by("doc_id")
-    read = lambda b: np.frombuffer(b, np.uint64)
-    sets = [read(b) for b in found.column("own").to_pylist()]
+    found = sample.mapInArrow(place, "doc_id long, _label int, own array<int>, changes array<array<int>>").toArrow().sort_by("doc_id")
+    discard(sample)
+    read = lambda x: np.array(x, np.int32)
     pairs = [(read(a), read(b)) for x in found.column("changes").to_pylist() for a, b in zip(x[::2], x[1::2], strict=True)]
-    return fit(sets, np.array(found.column("_label").to_pylist(), np.float64), pairs)
+    return solve(keys, [read(x) for x in found.column("own").to_pylist()], np.array(found.column("_label").to_pylist(), np.float64), pairs)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
