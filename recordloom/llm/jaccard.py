@@ -6,7 +6,8 @@ sampling error, so the recursion runs on sketches and never reads a text again.
 into a bucket for every token whose hash in that run is below 1 / (SPLIT x tokens): 1 / SPLIT of them on average.
 Buckets of at most LEAF sets are compared by brute force. In larger ones a set takes all that are similar to it into
 its group, which needs no comparison among themselves here; what no group took, and what stands on a group's edge, is
-split again by tokens that are not on the path yet, until no bucket is large. Candidates are linked, and each connected component is then compared
+split again by tokens that are not on the path yet, until no bucket is large. One task does so for a bucket of up to PART
+sets, leaves out buckets whose sets are in one component by then, and reports a tree of links. Candidates are linked, and each connected component is then compared
 exactly, so that every reported link is exact and pairs are found as well that no run found but whose documents met
 others of their group.
 
@@ -186,11 +187,6 @@ _PATHS = pa.schema([("bucket", pa.int64()), ("rid", pa.int64()), ("path", pa.lis
 _PATHS_SQL = "bucket long, rid long, path array<long>, loose boolean, head long"
 
 
-def _links(head: np.ndarray, rid: np.ndarray) -> pa.RecordBatch:
-    n = len(rid)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(rid), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.bool_()), pa.array(head)], schema=_PATHS)
-
-
 def _children(rows: pa.Table, runs: int) -> Iterator[pa.RecordBatch]:
     """The longer paths of rows (bucket, rid, path, sketch) by one token that is not on the path; a null path has one token."""
     for part in rows.to_batches(4096):
@@ -216,37 +212,97 @@ def _children(rows: pa.Table, runs: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(path_hash(bucket[owner[at]], tokens[at]).view(np.int64)), pa.array(rid[owner[at]]), pa.array(longer, pa.list_(pa.int64())), pa.array(np.ones(len(at), bool)), pa.nulls(len(at), pa.int64())], schema=_PATHS)
 
 
+def _joined(low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """low, the smallest index of each set's component, after further links (i, j)."""
+    return _spread(len(low), low[i], low[j])[low]
+
+
+def _taken(sketch: np.ndarray, close: np.ndarray, low: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's components low after some COMPARISONS, and the sets that may have partners in another component.
+
+    The first set of order takes all that are similar to it, then the next that none took. Partners of a set that is
+    close to it are in its component, so that set needs no more.
+    """
+    loose, stay, left = np.ones(len(low), bool), np.ones(len(low), bool), COMPARISONS
+    at = np.arange(len(low))
+    for head in order:
+        if not loose[head]:
+            continue
+        at = np.flatnonzero(stay)
+        if left < len(at) and loose.sum() > LEAF or (low[at] == low[at[0]]).all():
+            break
+        near = _shares(sketch, np.full(len(at), head), at)
+        left -= len(at)
+        link = at[near >= SKETCH_SHARE]
+        low = _joined(low, np.full(len(link), head), link)
+        loose[link] = loose[head] = False
+        stay[at[near >= close[at]]] = stay[head] = False
+    at = np.flatnonzero(stay)
+    if not len(at) or (low[at] == low[at[0]]).all():
+        return low, at[:0]
+    if len(at) * (len(at) - 1) // 2 > COMPARISONS:
+        return low, at
+    i, j = (at[x] for x in np.triu_indices(len(at), 1))
+    return _joined(low, *_similar(sketch, low, i, j)), at[:0]
+
+
+def _similar(sketch: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) of different components whose sketches are similar."""
+    apart = low[i] != low[j]
+    i, j = i[apart], j[apart]
+    near = _shares(sketch, i, j) >= SKETCH_SHARE
+    return i[near], j[near]
+
+
+def _components(tokens: np.ndarray, sizes: np.ndarray, bucket: np.ndarray, path: list[int]) -> np.ndarray:
+    """The smallest index that each set of a bucket is linked to; bucket: its hash, path: its tokens.
+
+    What is not decided in the bucket is split by tokens that are not on the path yet. Only buckets with sets of several
+    components are looked at, as all sets of a component are compared exactly later.
+    """
+    n, edge, sketch = len(sizes), np.concatenate([[0], np.cumsum(sizes)]), padded(tokens, sizes)
+    close = np.where(sizes == SKETCH, CLOSE_SHARE + SAMPLED, CLOSE_SHARE)
+    low, todo = np.arange(n), [(np.arange(n), bucket, path)]
+    while todo:
+        at, bucket, path = todo.pop()
+        first, mine = np.unique(low[at], return_index=True, return_inverse=True)[1:]
+        if len(first) == 1:
+            continue
+        few = sizes[at]
+        token, own = tokens[segments(edge[at], few)], np.repeat(np.arange(len(at)), few)
+        _, which, often = np.unique(token, return_inverse=True, return_counts=True)
+        central = np.bincount(own, often[which], len(at)) / np.maximum(few, 1)
+        # a set with no token beyond the path has no children, so it comes first
+        mine, left = _taken(sketch[at], close[at], first[mine], np.lexsort((at, -central, few > len(path))))
+        low = _joined(low, at, at[mine])
+        open_ = np.zeros(len(at), bool)
+        open_[left] = True
+        used = np.flatnonzero(open_[own] & ~np.isin(token, np.array(path, np.uint64)) & _chosen(mix(token ^ mix(bucket + _STEP)), few[own] - len(path)))
+        used = used[np.argsort(token[used], kind="stable")]
+        token, own = token[used], at[own[used]]
+        start = np.flatnonzero(np.concatenate([np.ones(len(token[:1]), bool), token[1:] != token[:-1]]))
+        size = np.diff(np.append(start, len(token)))
+        leaf = size <= LEAF
+        rows = segments(start[leaf], size[leaf])
+        further = np.repeat((start + size)[leaf], size[leaf]) - rows - 1
+        i, j = own[np.repeat(rows, further)], own[segments(rows + 1, further)]
+        pair = np.unique(np.minimum(i, j) * n + np.maximum(i, j))
+        low = _joined(low, *_similar(sketch, low, pair // n, pair % n))
+        todo += [(own[a : a + k], path_hash(bucket, token[a : a + 1]), [*path, int(token[a])]) for a, k in zip(start[~leaf], size[~leaf], strict=True)]
+    return low
+
+
 def _split(runs: int):
     def run(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        """A large bucket: links (in head and rid), and longer paths of the sets that still need partners.
-
-        The set whose tokens are the most common ones takes all that are similar to it, then the next that none took.
-        Two sets of one such group are in one component, so only sets on its edge and sets that no group took need
-        further partners.
-        """
+        """A large bucket: links of sets with similar sketches, a tree for each component, so fewer rows than it has sets."""
         rid = rows.column("rid").to_numpy()
         tokens, sizes = flat(rows.column("sketch"))
-        sketch = padded(tokens, sizes)
-        close = np.where(sizes == SKETCH, CLOSE_SHARE + SAMPLED, CLOSE_SHARE)
-        _, which, often = np.unique(tokens, return_inverse=True, return_counts=True)
-        central = np.bincount(np.repeat(np.arange(len(rid)), sizes), often[which], len(rid)) / np.maximum(sizes, 1)
-        path = rows.column("path")[0].as_py()
-        # a set with no token beyond the path has no children, so it comes first
-        order = np.lexsort((rid, -central, sizes > len(path or [0])))
-        loose, stay = rows.column("loose").to_numpy(zero_copy_only=False).copy(), np.ones(len(rid), bool)
-        left = COMPARISONS
-        for head in order:
-            at = np.flatnonzero(stay)
-            if not loose[head] or left < len(at) and loose.sum() > LEAF:
-                continue
-            near = _shares(sketch, np.full(len(at), head), at)
-            left -= len(at)
-            link = at[(near >= SKETCH_SHARE) & (at != head)]
-            yield _links(np.full(len(link), rid[head]), rid[link])
-            loose[link] = loose[head] = False
-            stay[at[near >= close[at]]] = stay[head] = False
-        if loose.any():
-            yield from _children(rows.take(pa.array(np.flatnonzero(stay))), runs)
+        bucket, path = rows.column("bucket").to_numpy()[:1].view(np.uint64), rows.column("path")[0].as_py()
+        if path is None:  # the token of which some run makes this bucket
+            path = {t for r in range(runs) for t in tokens[: sizes[0]][path_hash(np.full(1, r + 1, np.uint64), tokens[: sizes[0]]) == bucket].tolist()}
+        low = _components(tokens, sizes, bucket, [*path])
+        linked = np.flatnonzero(low != np.arange(len(low)))
+        yield pa.RecordBatch.from_arrays([pa.array(rid[low[linked]], pa.int64()), pa.array(rid[linked], pa.int64())], ["a", "b"])
 
     return run
 
@@ -543,16 +599,15 @@ def _candidate_links(heads: DataFrame, runs: int) -> DataFrame:
         if big.isEmpty():
             break
         big = big.join(sketches, "rid")
-        split = grouped(big.where(F.col("n") <= PART), ["bucket"], _split(runs), _PATHS_SQL)
-        read = []
-        if not counted.where(F.col("n") > PART).isEmpty():
-            huge = stored(big.where(F.col("n") > PART).drop("n"), "huge")
-            more, read = _split_huge(huge, runs)
-            split, read = split.unionByName(more), [huge, *read]
-        split = stored(split, "split-buckets")
-        discard(*read)
-        link = split.where("head is not null").select(F.col("head").alias("a"), F.col("rid").alias("b"))
+        link = stored(grouped(big.where(F.col("n") <= PART), ["bucket"], _split(runs), "a long, b long"), "bucket-links")
         links = link if links is None else links.unionByName(link)
+        if counted.where(F.col("n") > PART).isEmpty():
+            break
+        huge = stored(big.where(F.col("n") > PART).drop("n"), "huge")
+        more, read = _split_huge(huge, runs)
+        split = stored(more, "split-buckets")
+        discard(huge, *read)
+        links = links.unionByName(split.where("head is not null").select(F.col("head").alias("a"), F.col("rid").alias("b")))
         paths = stored(split.where("head is null").drop("head"), "paths")
     found = leaves.join(sketches, "rid").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_leaf_links, "a long, b long")
     return found if links is None else found.unionByName(links)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordloom.llm import common, jaccard
@@ -88,6 +89,33 @@ def test_one_large_group_equals_brute_force(spark, monkeypatch):
     equals_plain(spark, template_copies())
 
 
+def bucket_rows(texts):
+    """Rows of a bucket whose first token all sketches have, and the sketches."""
+    sketches = [np.concatenate([np.zeros(1, np.uint32), np.sort((jaccard.shingle_sets(pa.array([t]))[0] >> np.uint64(32)).astype(np.uint32))[: jaccard.SKETCH - 1]]) for t in texts]
+    bucket = jaccard.path_hash(np.full(1, 1, np.uint64), np.zeros(1, np.uint64)).view(np.int64)[0]
+    n = len(sketches)
+    columns = {"rid": pa.array(range(n), pa.int64()), "bucket": pa.array([bucket] * n), "path": pa.nulls(n, pa.list_(pa.int64())), "loose": pa.array([True] * n), "sketch": pa.array([x.tobytes() for x in sketches])}
+    return pa.table(columns), jaccard.padded(*jaccard.flat(columns["sketch"]))
+
+
+@pytest.mark.parametrize("comparisons", [1 << 18, 1 << 12])
+def test_links_of_a_bucket_grow_with_its_sets(monkeypatch, comparisons):
+    """Sets on the edges of many groups, as copies with many edits are: a tree of links, which joins all similar sets."""
+    monkeypatch.setattr(jaccard, "COMPARISONS", comparisons)
+    for n in (250, 500):
+        rows, sketch = bucket_rows(template_copies(n, 50, 5))
+        out = [b for b in jaccard._split(jaccard.RUNS)((), rows)]
+        assert sum(b.num_rows for b in out) < n
+        low = np.arange(n)
+        for b in out:
+            low = jaccard._spread(n, np.concatenate([low, b.column("a").to_numpy()]), np.concatenate([np.arange(n), b.column("b").to_numpy()]))
+        i, j = np.triu_indices(n, 1)
+        near = jaccard.share(sketch[i], sketch[j])
+        assert (low[i] == low[j])[near >= 0.8].all()
+        whole = jaccard._spread(n, i[near >= jaccard.SKETCH_SHARE], j[near >= jaccard.SKETCH_SHARE])
+        assert (whole[low] == whole).all()
+
+
 def test_bins_decide_rightly():
     texts = template_copies(60, 40, 3)
     sets = [shingles(t) for t in texts]
