@@ -178,9 +178,13 @@ SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDE
        row_number() OVER (PARTITION BY l_orderkey ORDER BY round_even(l_extendedprice / 25, 0) * 25, l_quantity, l_linenumber) AS rounded_place FROM lineitem
 """)
 def reading_places(spark, d):
-    """Lines in reading order, by rows of 24 and by rounded rows of 25."""
-    place = lambda order: F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order, "l_linenumber")).cast("long")
-    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", place(layout.reading_order("l_extendedprice", "l_quantity")).alias("place"), place(layout.rounded_order("l_extendedprice", "l_quantity")).alias("rounded_place"))
+    """Lines in reading order, by rows of 24 and by rounded rows of 25; what the SQL leaves tied goes by its exact top, and in both orders alike."""
+
+    def place(order, *ties):
+        return F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[F.asc_nulls_last(c) for c in (*order, "l_linenumber", *ties)])).cast("long")
+
+    first = t(spark, d, "lineitem").withColumn("place", place(layout.reading_order("l_extendedprice", "l_quantity"), "l_extendedprice"))
+    return first.select("l_orderkey", "l_linenumber", "place", place(layout.rounded_order("l_extendedprice", "l_quantity"), "l_extendedprice", "place").alias("rounded_place"))
 
 
 # ------------------------------------------------------------------ literal rows

@@ -55,3 +55,18 @@ def test_null_texts_are_no_copies(spark, con, tmp_path):
     assert [tuple(r) for r in rows] == [(1, None, 1, 2), (2, None, 2, 1), (3, None, 3, 1), (4, 1, 1, 2)]
     sql = catalog.oracle_sql()["exact_duplicates"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(duckdb.sql(sql).fetchall()) == [tuple(r) for r in rows]
+
+
+def test_reading_places_of_ties_and_nulls(spark, tmp_path):
+    """Ties of the SQL have one result whatever the order of the rows; nulls stand where the SQL has them."""
+    tied = [(1, 6, 9.0, 80567.78), (1, 6, 9.0, 80553.84), (1, 7, 31.0, 6195.57), (2, 1, 5.0, 80553.84), (2, 1, 5.0, 80553.84)]
+    columns = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    want = [(1, 6, 2, 2), (1, 6, 3, 3), (1, 7, 1, 1), (2, 1, 1, 1), (2, 1, 2, 2)]
+    for i, rows in enumerate([tied, tied[::-1]]):
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{tmp_path}/{i}/lineitem.parquet")
+        assert sorted(tuple(r) for r in catalog.queries()["reading_places"](spark, f"{tmp_path}/{i}").collect()) == want
+    odd = [(3, 1, None, 50.0), (3, 2, 4.0, 50.0), (3, 3, 4.0, None), (None, 4, 1.0, 1.0), (3, None, 4.0, 50.0)]
+    spark.createDataFrame(odd, columns).coalesce(1).write.parquet(f"{tmp_path}/odd/lineitem.parquet")
+    got = sorted(repr(tuple(r)) for r in catalog.queries()["reading_places"](spark, f"{tmp_path}/odd").collect())
+    sql = catalog.oracle_sql()["reading_places"].replace("FROM lineitem", f"FROM '{tmp_path}/odd/lineitem.parquet/*.parquet'")
+    assert got == sorted(map(repr, duckdb.sql(sql).fetchall()))
