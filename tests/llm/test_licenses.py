@@ -166,3 +166,19 @@ def test_findings_equal_a_plain_search():
                 assert found and min(len(f["missing"]) + len(f["extra"]) for f in found) == best, (line, template)
             if best > most:
                 assert not found, (line, template)
+
+
+def test_blocks_are_compressed_with_every_template_and_confirmed_by_rank(monkeypatch):
+    compressed, confirmed = [], []
+    saved, stretches = licenses.Scanner.saved, licenses.Scanner.stretches
+    monkeypatch.setattr(licenses.Scanner, "saved", lambda self, block, names=None: compressed.append((block, names)) or saved(self, block, names))
+    monkeypatch.setattr(licenses.Scanner, "stretches", lambda self, name, have: confirmed.append(name) or stretches(self, name, have))
+    s = licenses.Scanner()
+    block = "All rights reserved. " + licenses.TEMPLATES["GPL-3.0"] + " Released under the MIT License."
+    _, found = s.scan(block)
+    by = saved(s, block)
+    assert compressed[0] == (block, None) and set(by) == set(licenses.TEMPLATES)
+    assert confirmed == sorted(confirmed, key=lambda k: (-by[k], k)) and {"Proprietary", "GPL-3.0", "MIT"} <= set(confirmed)
+    assert [f["license"] for f in found] == ["Proprietary", "GPL-3.0", "MIT"]
+    assert all(f["rank"] == 1 + sum((-by[k], k) < (-by[f["license"]], f["license"]) for k in by) for f in found)
+    assert all(s.ranked(t)[0] == name for name, t in licenses.TEMPLATES.items() if name in ("GPL-3.0", "BSL-1.0", "Unlicense", "EPL-2.0"))
